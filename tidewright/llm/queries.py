@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import pii, sharding
+from . import packing, pii, sharding, toxicity
+
+
+def _held_out(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def op1_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    weights = toxicity.train(docs, labels.where(~_held_out()))
+    scored = toxicity.score(docs.select("doc_id", "text"), weights)
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +27,13 @@ def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op5_stratified_interleaving, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op5_stratified_interleaving, op9_best_two_fit, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
