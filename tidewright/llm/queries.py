@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import decontamination, licenses, packing, pii, sharding, toxicity
+from . import decontamination, licenses, near_duplicates, packing, pii, sharding, toxicity
 
 
 def _held_out(doc_id: str = "doc_id") -> Column:
@@ -20,6 +20,10 @@ def op1_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleave(read(spark, sf_dir, "documents"))
     return placed.select(
@@ -45,7 +49,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op5_stratified_interleaving, op7_license_dice, op8_containment_search, op9_best_two_fit, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op4_hyperminhash, op5_stratified_interleaving, op7_license_dice, op8_containment_search, op9_best_two_fit, op10_pii)}
 #: Word shingles (at most five words) of a table, as strings.
 _SHINGLES = """
   SELECT DISTINCT {id}, array_to_string(words[i + 1 : i + width], ' ') AS s
