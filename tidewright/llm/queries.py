@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import decontamination, licenses, near_duplicates, packing, pii, sharding, toxicity
+from . import ann, decontamination, licenses, near_duplicates, packing, pii, sharding, toxicity
 
 
 def _held_out(doc_id: str = "doc_id") -> Column:
@@ -31,6 +31,10 @@ def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), queries_divisor=20, k=20)
+
+
 def op7_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "license", "template", F.round("dice", 6).alias("dice"))
@@ -49,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op4_hyperminhash, op5_stratified_interleaving, op7_license_dice, op8_containment_search, op9_best_two_fit, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op4_hyperminhash, op5_stratified_interleaving, op6_multi_index_hashing, op7_license_dice, op8_containment_search, op9_best_two_fit, op10_pii)}
 #: Word shingles (at most five words) of a table, as strings.
 _SHINGLES = """
   SELECT DISTINCT {id}, array_to_string(words[i + 1 : i + width], ' ') AS s
