@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import ann, decontamination, licenses, near_duplicates, packing, pii, quality, sharding, toxicity
+from . import ann, decontamination, licenses, near_duplicates, packing, pii, quality, repeats, sharding, toxicity
 
 
 def _held_out(doc_id: str = "doc_id") -> Column:
@@ -20,6 +20,10 @@ def op1_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_suffix_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(read(spark, sf_dir, "documents")))
+
+
 def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return quality.classify(docs, labels.where("quality = 1"))
@@ -58,7 +62,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op3_kneser_ney_quality, op4_hyperminhash, op5_stratified_interleaving, op6_multi_index_hashing, op7_license_dice, op8_containment_search, op9_best_two_fit, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op2_suffix_grouping, op3_kneser_ney_quality, op4_hyperminhash, op5_stratified_interleaving, op6_multi_index_hashing, op7_license_dice, op8_containment_search, op9_best_two_fit, op10_pii)}
 #: Word shingles (at most five words) of a table, as strings.
 _SHINGLES = """
   SELECT DISTINCT {id}, array_to_string(words[i + 1 : i + width], ' ') AS s
