@@ -30,16 +30,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is made only where that setting is absent (tests on one
-    machine), so a lost executor never takes the data with it.
+    A temporary one is made only where that setting is absent (tests on one machine).
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    own = context._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
+    folder = context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
+    context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and cut its lineage there, so that a lost executor never takes the data with it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
