@@ -41,6 +41,8 @@ QUANTILE = 0.99
 MARGIN = 1.15
 #: Characters of text in a block, more or less: a block holds at least one document.
 BLOCK_CHARS = 16_000_000
+#: Characters whose n-grams are in memory at a time (a longer text is one step).
+STEP_CHARS = 500_000
 #: Ids of at most this many trusted documents are broadcast (9 bytes each).
 BROADCAST_ROWS = 1_000_000
 PAD = b"\0" * (2 * (ORDER - 1))
@@ -57,6 +59,20 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return found[units[ORDER - 1 :] != 0], sizes
 
 
+def distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of ``texts``, sorted, and how often they occur; built up from ``STEP_CHARS`` at a time."""
+    keys, times, part, size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), [], 0
+    for k, t in enumerate(texts):
+        part.append(t)
+        size += len(t)
+        if size >= STEP_CHARS or k + 1 == len(texts):
+            new, n = np.unique(grams(part)[0], return_counts=True)
+            both, at = np.unique(np.r_[keys, new], return_inverse=True)
+            times = np.bincount(at, np.r_[times, n], minlength=len(both)).astype(np.int64)
+            keys, part, size = both, [], 0
+    return keys, times
+
+
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of rows that make up a block."""
     start, size = 0, 0
@@ -85,8 +101,8 @@ def counted(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch["body"].to_pylist()
             for a, b in _blocks(texts):
-                gram, n = np.unique(grams(texts[a:b])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+                gram, n = distinct(texts[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
     return docs.select("body").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -150,7 +166,7 @@ def _listed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, texts = batch["doc_id"].to_pylist(), batch["body"].to_pylist()
             for a, b in _blocks(texts):
-                gram = np.unique(grams(texts[a:b])[0]).view(np.int64)
+                gram = distinct(texts[a:b])[0].view(np.int64)
                 block = np.full(len(gram), _block_id(ids[a:b], texts[a:b]), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(gram)], names=["block", "gram"])
 
@@ -222,8 +238,8 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for data in packs["data"]:
             table = pa.ipc.open_stream(zstandard.decompress(data)).read_all()
             texts, total, sizes = table["body"].to_pylist(), [], []
-            for a in range(0, len(texts), 512):
-                gram, n = grams(texts[a : a + 512])
+            for a in range(0, len(texts), 128):
+                gram, n = grams(texts[a : a + 128])
                 logp = np.r_[0.0, np.cumsum(_look_up(gram, keys, values), dtype=np.float64)] if len(gram) else np.zeros(1)
                 ends = np.cumsum(n)
                 total.append(logp[ends] - logp[ends - n])
