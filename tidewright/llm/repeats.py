@@ -49,7 +49,7 @@ BLOCK = 20_000
 #: Tables of at most this many rows (some tens of bytes each) are broadcast.
 BROADCAST_ROWS = 500_000
 #: Texts worked on at a time, in bytes.
-BATCH = 4_000_000
+BATCH = 250_000
 POS = np.uint64(28)
 
 BASE = 0x9E3779B97F4A7C15
@@ -58,10 +58,19 @@ INVERSE = pow(BASE, -1, 1 << 64)
 BYTE = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
+_KEPT: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first ``n`` powers, kept for the next call unless there are very many."""
+    if n > len(_KEPT.get(base, ())):
+        out = np.full(max(n, 2 * BATCH), base, dtype=np.uint64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if n > 8 * BATCH:
+            return out[:n]
+        _KEPT[base] = out
+    return _KEPT[base][:n]
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
