@@ -130,18 +130,18 @@ def uid(doc_id: object, text: bytes) -> int:
 
 
 def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts (bytes), some MB at a time."""
+    """Ids and texts (bytes), up to ``BATCH`` bytes at a time (a longer text by itself)."""
     for batch in batches:
-        ids, texts, size = [], [], 0
-        for i, t in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
-            if size >= BATCH:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+        sizes = np.diff(np.frombuffer(batch["body"].buffers()[1], dtype=np.int32)[batch["body"].offset :][: len(batch) + 1])
+        block = np.cumsum(sizes) // BATCH
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(batch) else []
+        for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+            part = batch.slice(a, b - a)
+            yield part["doc_id"].to_pylist(), part["body"].to_pylist()
+
+
+def _uids(batch: pa.RecordBatch) -> pa.Array:
+    return pa.array((uid(i.as_py(), t.as_py()) for i, t in zip(batch["doc_id"], batch["body"], strict=True)), pa.int64())
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -183,8 +183,7 @@ def _segments(docs: DataFrame, edges: DataFrame) -> DataFrame:
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [uid(i, t) for i, t in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), batch["body"]], names=["uid", "body"])
+            yield pa.RecordBatch.from_arrays([_uids(batch), batch["body"]], names=["uid", "body"])
 
     # Rows that share a uid are equal, and one is enough; the rest only repeat its windows.
     named = docs.mapInArrow(name, "uid long, body binary").join(_small(by_doc), "uid")
@@ -328,17 +327,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     listed = found.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = 1 << 34  # beyond any text's end: rows lie one after the other on one line
         for batch in batches:
-            merged = []
-            for spans in batch["spans"].to_pylist():
-                out: list[list[int]] = []
-                for a, b in sorted((s["start"], s["end"]) for s in spans):
-                    if out and a <= out[-1][1]:
-                        out[-1][1] = max(out[-1][1], b)
-                    else:
-                        out.append([a, b])
-                merged.append(out)
-            yield pa.RecordBatch.from_arrays([batch["uid"], pa.array(merged, pa.list_(pa.list_(pa.int64())))], names=["uid", "spans"])
+            lists = batch["spans"]
+            sizes = np.diff(lists.offsets.to_numpy())
+            if not sizes.sum():
+                continue
+            parts = lists.flatten()
+            row = np.repeat(np.arange(len(lists), dtype=np.int64), sizes)
+            start, end = (parts.field(c).to_numpy() + row * far for c in ("start", "end"))
+            order = np.argsort(start, kind="stable")
+            start, end, row = start[order], np.maximum.accumulate(end[order]), row[order]
+            first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
+            last = np.r_[first[1:] - 1, len(start) - 1]
+            own = row[first] * far
+            pairs = pa.array(np.stack([start[first] - own, end[last] - own], axis=1).ravel())
+            pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(first) + 1, 2, dtype=np.int32)), pairs)
+            ends = np.searchsorted(row[first], np.arange(len(lists) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["uid"], pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["uid", "spans"])
 
     return listed.mapInArrow(merge, "uid long, spans array<array<long>>")
 
@@ -355,8 +361,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [uid(i, t) for i, t in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), batch["doc_id"], batch["body"]], names=["uid", "doc_id", "body"])
+            yield pa.RecordBatch.from_arrays([_uids(batch), batch["doc_id"], batch["body"]], names=["uid", "doc_id", "body"])
 
     named = bodies.mapInArrow(name, f"uid long, doc_id {id_type}, body binary")
     return named.join(_small(spans), "uid", "left").select("doc_id", "body", F.coalesce("spans", F.expr("cast(array() as array<array<bigint>>)")).alias("spans"))
@@ -368,7 +373,7 @@ def digest(removed: DataFrame) -> DataFrame:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for body, spans in zip(batch["body"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+            for body, spans in zip((x.as_py() for x in batch["body"]), batch["spans"].to_pylist(), strict=True):
                 h, at = hashlib.sha256(), 0
                 for a, b in spans:
                     h.update(body[at:a])
