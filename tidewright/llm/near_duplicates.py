@@ -14,6 +14,9 @@ of leading zeros and ``MANTISSA`` further bits (16 bits in all). Bands of
   which any member that resembles some other one resembles at least as much.
   Members are dealt over tasks of ``CHUNK``, each with a copy of the leaders, so
   neither a task nor the number of pairs grows with the square of a group.
+* What the leaders leave apart is settled exactly: in a larger bucket the members
+  outside its main component meet all members of other components, in blocks of
+  ``CHUNK`` by ``CHUNK``, each pair in the first band that it shares.
 
 Proposed pairs are confirmed on the full sets; components are those of the
 confirmed links. Registers accept a pair ``SLACK`` standard deviations below the
@@ -113,15 +116,19 @@ def sketches(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFra
     return docs.select("doc_id", F.col(text).cast("string").alias("body")).mapInArrow(sketch, f"doc_id {id_type}, n_shingles long, node long, registers binary")
 
 
+def band_hashes(rows: np.ndarray) -> np.ndarray:
+    """A hash of each band's number and registers; a row holds the bands of a set as 64-bit numbers."""
+    return mixed(rows + mixed(np.arange(1, rows.shape[1] + 1, dtype=np.uint64))[None, :])
+
+
 def _bands(reps: DataFrame) -> DataFrame:
     """rep, band (a hash of the band's number and registers) of every band in use."""
-    n = REGISTERS // ROWS
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                r = np.frombuffer(b"".join(batch["registers"]), dtype="<u8").reshape(len(batch), n)  # four registers are one number
-                band = mixed(r + mixed(np.arange(1, n + 1, dtype=np.uint64))[None, :])
+                r = np.frombuffer(b"".join(batch["registers"]), dtype="<u8").reshape(len(batch), -1)  # four registers are one number
+                band = band_hashes(r)
                 row, col = np.nonzero(r)
                 yield pd.DataFrame({"rep": batch["rep"].to_numpy()[row], "band": band[row, col].view(np.int64)})
 
@@ -142,8 +149,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, text: str) -> DataFrame
     return chosen.mapInArrow(build, "rep long, hashes binary")
 
 
-def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, text: str = "text") -> DataFrame:
-    """a, b: confirmed links between classes (``reps``: rep, registers, doc_id of a member)."""
+def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Confirmed links a, b between classes (``reps``: rep, registers, doc_id of a member); the larger buckets (rep, band, members); their members' sets."""
     bands = _bands(reps)
     crowded = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = cut(bands.join(crowded, "band"))
@@ -200,7 +207,75 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, text: str
     crowd = member.withColumn("head", F.lit(False)).union(leaders.withColumn("head", F.lit(True)))
     crowd = crowd.join(sets, "rep").join(reps.select("rep", "registers"), "rep")
     starred = crowd.groupBy("band", "chunk").applyInPandas(meet, "a long, b long")
-    return confirmed.union(starred)
+    return confirmed.union(starred), large.select("rep", "band", "members"), sets
+
+
+def leftovers(large: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: confirmed links between members of one larger bucket that are in different components (``labels``: node, component)."""
+    named = large.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    mains = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    mains = mains.select("band", F.col("top.component").alias("main"), (F.col("all") - F.col("top.n")).alias("others")).where("others > 0")
+    placed = cut(named.join(mains, "band").withColumns({"blocks": F.ceil(F.col("members") / CHUNK), "rows": F.ceil(F.col("others") / CHUNK)}))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keys = ["band", "block", "row"]
+    columns = ["rep", "band", "component", "block", "row", "other"]
+    members = placed.withColumns({"block": own("blocks"), "row": every("rows"), "other": F.lit(False)}).select(columns)
+    others = placed.where("component <> main").withColumns({"row": own("rows"), "block": every("blocks"), "other": F.lit(True)}).select(columns)
+
+    def likely(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, Iterator[np.ndarray]]:
+        """Others, members, and for each of the others the members that it may resemble and meets here first."""
+        heads, rest = part[part["other"]], part[~part["other"]]
+        table = np.array([np.frombuffer(x, dtype="<u2") for x in rest["registers"]])
+        bands = table.view("<u8") if len(rest) else None
+        component, band = rest["component"].to_numpy(), part["band"].iloc[0]
+
+        def found() -> Iterator[np.ndarray]:
+            for bits, label in zip(heads["registers"], heads["component"], strict=True):
+                if bands is None:
+                    yield np.zeros(0, dtype=np.int64)
+                    continue
+                mine = np.frombuffer(bits, dtype="<u8")
+                number = int(np.flatnonzero(band_hashes(mine[None, :])[0].view(np.int64) == band)[0])
+                earlier = ((bands[:, :number] == mine[:number]) & (mine[:number] != 0)).any(axis=1)
+                near = np.flatnonzero(~earlier & (component != label))
+                yield near[plausible(table[near], np.frombuffer(bits, dtype="<u2")[None, :], percent)]
+
+        return heads, rest, found()
+
+    def narrow(part: pd.DataFrame) -> pd.DataFrame:
+        heads, rest, found = likely(part)
+        met, used = np.zeros(len(rest), dtype=bool), np.zeros(len(heads), dtype=bool)
+        for k, near in enumerate(found):
+            used[k] = near.size > 0
+            met[near] = True
+        return pd.concat([heads[used], rest[met]])[columns]
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        heads, rest, found = likely(part)
+        sets_of, reps_of, labels_of = rest["hashes"].to_numpy(), rest["rep"].to_numpy(), rest["component"].to_numpy()
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        out = []
+        for rep, label, hashes, near in zip(heads["rep"], heads["component"], heads["hashes"], found, strict=True):
+            mine = np.frombuffer(hashes, dtype="<u8")
+            for j in near:
+                a, b = top(label), top(labels_of[j])
+                if a != b and similar(mine, np.frombuffer(sets_of[j], dtype="<u8"), percent):
+                    root[a] = b
+                    out.append((rep, reps_of[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    bits = reps.select("rep", "registers")
+    schema = "rep long, band long, component long, block long, row long, other boolean"
+    kept = cut(members.union(others).join(bits, "rep").groupBy(*keys).applyInPandas(narrow, schema))
+    return kept.join(bits, "rep").join(sets, "rep").groupBy(*keys).applyInPandas(settle, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text") -> DataFrame:
@@ -211,7 +286,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # An id that names several texts ties their classes together.
     tied = linked.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("doc_id", "least")
     ties = linked.join(tied, "doc_id").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    found = cut(components(links(docs, classes, words, percent, text).union(ties)))
+    confirmed, large, sets = links(docs, classes, words, percent, text)
+    found = cut(components(confirmed.union(ties)))
+    more = cut(leftovers(large, found, classes, sets, percent))
+    if not more.isEmpty():
+        found = cut(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     named = classes.select("rep", "doc_id").join(found, F.col("rep") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select(F.col("rep").alias("node"), "component_id")
