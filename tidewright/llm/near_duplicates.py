@@ -16,7 +16,7 @@ of leading zeros and ``MANTISSA`` further bits (16 bits in all). Bands of
   neither a task nor the number of pairs grows with the square of a group.
 * What the leaders leave apart is settled exactly: in a larger bucket the members
   outside its main component meet all members of other components, in blocks of
-  ``CHUNK`` by ``CHUNK``, each pair in the first band that it shares.
+  ``BLOCK`` by ``BLOCK``, once for all buckets of one main component.
 
 Proposed pairs are confirmed on the full sets; components are those of the
 confirmed links. Registers accept a pair ``SLACK`` standard deviations below the
@@ -47,7 +47,7 @@ from .shingles import mixed, shared, shingle_set
 WORDS = 5
 PERCENT = 80
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
-SMALL, LEADERS, CHUNK = 16, 12, 256
+SMALL, LEADERS, CHUNK, BLOCK = 16, 12, 256, 512
 SLACK = 5.0
 #: Ids of at most this many documents are broadcast (8 bytes each).
 BROADCAST_ROWS = 1_000_000
@@ -116,11 +116,6 @@ def sketches(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFra
     return docs.select("doc_id", F.col(text).cast("string").alias("body")).mapInArrow(sketch, f"doc_id {id_type}, n_shingles long, node long, registers binary")
 
 
-def band_hashes(rows: np.ndarray) -> np.ndarray:
-    """A hash of each band's number and registers; a row holds the bands of a set as 64-bit numbers."""
-    return mixed(rows + mixed(np.arange(1, rows.shape[1] + 1, dtype=np.uint64))[None, :])
-
-
 def _bands(reps: DataFrame) -> DataFrame:
     """rep, band (a hash of the band's number and registers) of every band in use."""
 
@@ -128,7 +123,7 @@ def _bands(reps: DataFrame) -> DataFrame:
         for batch in batches:
             if len(batch):
                 r = np.frombuffer(b"".join(batch["registers"]), dtype="<u8").reshape(len(batch), -1)  # four registers are one number
-                band = band_hashes(r)
+                band = mixed(r + mixed(np.arange(1, r.shape[1] + 1, dtype=np.uint64))[None, :])
                 row, col = np.nonzero(r)
                 yield pd.DataFrame({"rep": batch["rep"].to_numpy()[row], "band": band[row, col].view(np.int64)})
 
@@ -215,31 +210,28 @@ def leftovers(large: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFr
     named = large.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     mains = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
-    mains = mains.select("band", F.col("top.component").alias("main"), (F.col("all") - F.col("top.n")).alias("others")).where("others > 0")
-    placed = cut(named.join(mains, "band").withColumns({"blocks": F.ceil(F.col("members") / CHUNK), "rows": F.ceil(F.col("others") / CHUNK)}))
+    mains = mains.where("all > top.n").select("band", F.col("top.component").alias("main"))
+    # The bands of one group have one main component, and a member stands there once.
+    placed = cut(named.join(mains, "band").select("main", "rep", "component").distinct())
+    counts = placed.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).alias("rows"))
+    placed = placed.join(counts, "main")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    keys = ["band", "block", "row"]
-    columns = ["rep", "band", "component", "block", "row", "other"]
+    keys = ["main", "block", "row"]
+    columns = ["rep", "main", "component", "block", "row", "other"]
     members = placed.withColumns({"block": own("blocks"), "row": every("rows"), "other": F.lit(False)}).select(columns)
     others = placed.where("component <> main").withColumns({"row": own("rows"), "block": every("blocks"), "other": F.lit(True)}).select(columns)
 
     def likely(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, Iterator[np.ndarray]]:
-        """Others, members, and for each of the others the members that it may resemble and meets here first."""
+        """Others, members, and for each of the others the members of other components that it may resemble."""
         heads, rest = part[part["other"]], part[~part["other"]]
-        table = np.array([np.frombuffer(x, dtype="<u2") for x in rest["registers"]])
-        bands = table.view("<u8") if len(rest) else None
-        component, band = rest["component"].to_numpy(), part["band"].iloc[0]
+        table = np.array([np.frombuffer(x, dtype="<u2") for x in rest["registers"]]).reshape(-1, REGISTERS)
+        bands, component = table.view("<u8"), rest["component"].to_numpy()
 
         def found() -> Iterator[np.ndarray]:
             for bits, label in zip(heads["registers"], heads["component"], strict=True):
-                if bands is None:
-                    yield np.zeros(0, dtype=np.int64)
-                    continue
                 mine = np.frombuffer(bits, dtype="<u8")
-                number = int(np.flatnonzero(band_hashes(mine[None, :])[0].view(np.int64) == band)[0])
-                earlier = ((bands[:, :number] == mine[:number]) & (mine[:number] != 0)).any(axis=1)
-                near = np.flatnonzero(~earlier & (component != label))
+                near = np.flatnonzero(((bands == mine) & (mine != 0)).any(axis=1) & (component != label))
                 yield near[plausible(table[near], np.frombuffer(bits, dtype="<u2")[None, :], percent)]
 
         return heads, rest, found()
@@ -273,7 +265,7 @@ def leftovers(large: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFr
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     bits = reps.select("rep", "registers")
-    schema = "rep long, band long, component long, block long, row long, other boolean"
+    schema = "rep long, main long, component long, block long, row long, other boolean"
     kept = cut(members.union(others).join(bits, "rep").groupBy(*keys).applyInPandas(narrow, schema))
     return kept.join(bits, "rep").join(sets, "rep").groupBy(*keys).applyInPandas(settle, "a long, b long")
 
