@@ -48,3 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and cut its lineage there, so that a lost executor never takes the data with it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of whole texts in one Arrow batch.
+TEXT_ROWS = 2000
+
+
+def text_batches(df: DataFrame) -> None:
+    """Limit the session's Arrow batches to ``TEXT_ROWS`` rows, as texts are wide and a batch is held on both sides; a lower limit stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
