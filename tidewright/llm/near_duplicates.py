@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, text_batches
 from .components import components
 from .shingles import mixed, shared, shingle_set
 
@@ -105,8 +105,8 @@ def sketches(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFra
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes, rows = [], [], []
-            for body in batch["body"].to_pylist():
-                s = shingle_set(body, words)
+            for body in batch["body"]:
+                s = shingle_set(body.as_py(), words)
                 sizes.append(s.size)
                 nodes.append(node(s) if s.size else None)
                 rows.append(registers(s).tobytes() if s.size else None)
@@ -138,7 +138,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, text: str) -> DataFrame
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [s for s in (shingle_set(x, words) for x in batch["body"].to_pylist()) if s.size]
+            made = [s for s in (shingle_set(x.as_py(), words) for x in batch["body"]) if s.size]
             yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["rep", "hashes"])
 
     return chosen.mapInArrow(build, "rep long, hashes binary")
@@ -272,6 +272,7 @@ def leftovers(large: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFr
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked id) and kept (the id is its component's)."""
+    text_batches(docs)
     made = cut(sketches(docs, words, text))
     linked = made.where("doc_id is not null and node is not null")
     classes = cut(linked.groupBy(F.col("node").alias("rep")).agg(F.min("doc_id").alias("doc_id"), F.min("registers").alias("registers")))
@@ -280,10 +281,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     ties = linked.join(tied, "doc_id").select(F.col("node").alias("a"), F.col("least").alias("b"))
     confirmed, large, sets = links(docs, classes, words, percent, text)
     found = cut(components(confirmed.union(ties)))
+    named = classes.select("rep", "doc_id").join(found, F.col("rep") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
     more = cut(leftovers(large, found, classes, sets, percent))
     if not more.isEmpty():
-        found = cut(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
-    named = classes.select("rep", "doc_id").join(found, F.col("rep") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
+        # Few links, between components: these are what is joined up now.
+        label = lambda end: named.select(F.col("rep").alias(end), F.col("component").alias(f"c_{end}"))
+        joined = components(more.join(label("a"), "a").join(label("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+        joined = joined.select(F.col("node").alias("n"), F.col("component").alias("root"))
+        named = named.join(joined, F.col("component") == F.col("n"), "left").select("rep", "doc_id", F.coalesce("root", "component").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select(F.col("rep").alias("node"), "component_id")
     rows = made.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))

@@ -25,17 +25,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, text_batches
 
 CAPACITY = 1024
 CLOSING_ID = 2
 BUCKET_ROWS = 2000
+#: Texts whose ids are in memory at a time.
+TEXTS = 500
 SPECIAL = {"<|endoftext|>": 50256}
 
 
@@ -61,7 +62,8 @@ def pieces(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity:
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not kept:
             kept.append(encoder(path, pattern))
-        for batch in batches:
+        parts = (batch.slice(k, TEXTS) for batch in batches for k in range(0, len(batch), TEXTS))
+        for batch in parts:
             rows: list[tuple] = []
             for doc_id, body in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), strict=True):
                 ids = np.array([*kept[0].encode(body, allowed_special="all"), CLOSING_ID], dtype="<u4")
@@ -129,6 +131,7 @@ def _closest_pair(free: np.ndarray, room: int) -> tuple[int, int] | None:
 
 def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity: int = CAPACITY, with_ids: bool = False, text: str = "text") -> DataFrame:
     """The pieces of all documents with sequence_id and offset (place in the sequence)."""
+    text_batches(docs)
     # Read twice (counts, ranks), tokenised once.
     cuts = cut(pieces(docs, vocabulary, capacity, with_ids, text))
     # monotonically_increasing_id is fixed here: the written partitions don't change.
@@ -149,20 +152,21 @@ def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity: i
     )
     slots = _slots(best_two_fit(counts, capacity))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequence, offset = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=np.int64)
-            lengths = batch["length"].to_numpy()
+            lengths, ranks = batch["length"].to_numpy(), batch["rank"].to_numpy()
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
-                rank = batch["rank"].to_numpy()[at]
+                rank = ranks[at]
                 first, base, where = slots[int(length)]
                 k = np.searchsorted(first, rank, side="right") - 1
                 sequence[at], offset[at] = base[k] + rank - first[k], where[k]
-            yield batch.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            names = [n for n in batch.schema.names if n != "rank"]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank") + ", sequence_id long, offset long"
-    return ranked.mapInPandas(place, schema)
+    return ranked.mapInArrow(place, schema)
 
 
 def _slots(bins: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, text_batches
 
 ORDER = 4
 QUANTILE = 0.99
@@ -43,6 +43,8 @@ MARGIN = 1.15
 BLOCK_CHARS = 16_000_000
 #: Characters whose n-grams are in memory at a time (a longer text is one step).
 STEP_CHARS = 500_000
+#: Scored n-grams that go into one row for each of their blocks.
+GATHERED = 100_000
 #: Ids of at most this many trusted documents are broadcast (9 bytes each).
 BROADCAST_ROWS = 1_000_000
 PAD = b"\0" * (2 * (ORDER - 1))
@@ -194,16 +196,27 @@ def _tables(scored: DataFrame) -> DataFrame:
     """block, gram and logp (as bytes): each task's share of a block's table in one row."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            block, gram, logp = (batch[c].to_numpy(zero_copy_only=False) for c in ("block", "gram", "logp"))
+        press, held, size = zstandard.ZstdCompressor(level=1), [], 0
+
+        def emit() -> pa.RecordBatch:
+            block, gram, logp = (np.concatenate([b[c].to_numpy(zero_copy_only=False) for b in held]) for c in ("block", "gram", "logp"))
             order = np.lexsort((gram, block))
             block, gram, logp = block[order], gram[order], logp[order]
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, dtype=np.int64)
+            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             ends = np.r_[first[1:], len(block)]
             steps = [press.compress(np.diff(gram[a:b], prepend=0).astype("<i8").tobytes()) for a, b in zip(first, ends, strict=True)]
             values = [logp[a:b].astype("<f4").tobytes() for a, b in zip(first, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(steps, pa.binary()), pa.array(values, pa.binary())], names=["block", "gram", "logp"])
+            return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(steps, pa.binary()), pa.array(values, pa.binary())], names=["block", "gram", "logp"])
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+            if size >= GATHERED:
+                yield emit()
+                held, size = [], 0
+        if held:
+            yield emit()
 
     return scored.mapInArrow(gather, "block long, gram binary, logp binary")
 
@@ -259,6 +272,7 @@ def _held_out(column: str) -> Column:
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, text: str = "text") -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold, accepted of every row; ``trusted`` has the ids of trusted documents."""
+    text_batches(docs)
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     learned = ids.where(~_held_out("id"))

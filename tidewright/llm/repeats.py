@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, text_batches
 from .shingles import mixed
 from .suffix_array import suffix_array
 
@@ -355,6 +355,7 @@ def _bodies(docs: DataFrame, text: str) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, body (bytes of the text), spans (removed stretches) of every row."""
+    text_batches(docs)
     bodies = _bodies(docs, text)
     spans = cut(repeated_spans(bodies))
     id_type = docs.schema["doc_id"].dataType.simpleString()

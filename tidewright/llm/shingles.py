@@ -17,7 +17,7 @@ class _WordHash(dict):
     """Hashes of words, kept until there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
