@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .names import fresh
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -81,8 +82,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     )
     candidates = cut(matched.select("doc_id", "item_id"))
     ids = candidates.select(F.col("doc_id").alias("id")).distinct()
-    again = docs.join(_small(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    full = _document_shingles(again, dict.fromkeys(limits), text).distinct()
+    again = docs.select("doc_id", F.col(text).alias("body")).join(_small(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    full = _document_shingles(again, dict.fromkeys(limits), "body").distinct()
     wanted = candidates.select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"))
     shared = full.join(_small(shingles.select("item_id", "width", "h", "n")), ["width", "h"])
     kept = shared.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_doc")) & F.col("item_id").eqNullSafe(F.col("c_item")), "left_semi")
@@ -111,5 +112,6 @@ def _document_shingles(docs: DataFrame, limits: dict[int, int | None], text: str
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no item, with their columns."""
-    found = contaminated(docs, items, threshold).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(_small(cut(found)), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
+    name = fresh(docs, "gone")
+    found = contaminated(docs, items, threshold).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(_small(cut(found)), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

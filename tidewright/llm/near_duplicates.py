@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, text_batches
 from .components import components
+from .names import fresh
 from .shingles import mixed, shared, shingle_set
 
 WORDS = 5
@@ -299,6 +300,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 def dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that another one of their group stands for."""
-    gone = cut(near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__doc")).distinct())
+    name = fresh(docs, "gone")
+    # Rows that repeat the id of a kept document repeat its text or are tied to it.
+    gone = cut(near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct())
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__doc"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, text_batches
+from .names import fresh
 
 ORDER = 4
 QUANTILE = 0.99
@@ -292,6 +293,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ma
 
 def accept(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """The documents that the model accepts, with their columns."""
-    gone = cut(classify(docs, trusted, quantile, margin).where("not accepted and doc_id is not null").select(F.col("doc_id").alias("__doc")).distinct())
+    name = fresh(docs, "gone")
+    gone = cut(classify(docs, trusted, quantile, margin).where("not accepted and doc_id is not null").select(F.col("doc_id").alias(name)).distinct())
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__doc"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(name), "left_anti")

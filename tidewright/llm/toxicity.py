@@ -103,7 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         .select(F.col("doc_id").alias("id"), "y", F.xxhash64("doc_id").alias("order"))
     )
     # At most max_labelled ids are broadcast.
-    chosen = docs.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", "order", F.col("y").cast("int").alias("y"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    bodies = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    chosen = bodies.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", "order", F.col("y").cast("int").alias("y"), "body")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
