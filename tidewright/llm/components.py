@@ -28,8 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = moved.select(F.col("other").alias("a"), F.col("low").alias("b")).union(moved.select(F.col("node").alias("a"), F.col("low").alias("b")))
         after = cut(small.where("a <> b").distinct())
         # Done when no node has two parents and no parent has one.
-        parents = after.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        if after.join(parents.select(F.col("a").alias("p"), "n"), F.col("b") == F.col("p"), "left_semi").isEmpty() and parents.where("n > 1").isEmpty():
+        ends = after.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(after.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
             roots = after.select("b").distinct()
             return after.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select(F.col("b").alias("node"), F.col("b").alias("component")))
         edges = after.select("b", "a")

@@ -133,7 +133,7 @@ def _bands(reps: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int, text: str) -> DataFrame:
     """rep, hashes (sorted set as bytes) of the classes in ``nodes`` (rep, and the id of a document of the class)."""
-    ids = nodes.select("doc_id").distinct()
+    ids = cut(nodes.select("doc_id").distinct())
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     chosen = docs.select("doc_id", F.col(text).cast("string").alias("body")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
@@ -283,6 +283,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     confirmed, large, sets = links(docs, classes, words, percent, text)
     found = cut(components(confirmed.union(ties)))
     named = classes.select("rep", "doc_id").join(found, F.col("rep") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
+    named = cut(named)
     more = cut(leftovers(large, found, classes, sets, percent))
     if not more.isEmpty():
         # Few links, between components: these are what is joined up now.
