@@ -12,12 +12,16 @@ their probabilities, and the block's packed texts (the only shuffle of text,
 compressed) meet the block's own table. What moves so grows with the corpus, but
 far less than its n-grams.
 
-The model learns from four fifths of the trusted documents. The last fifth gives
-each language its threshold: a quantile of its perplexities, times ``MARGIN``.
+The model learns from all trusted documents. These themselves fall into ``FOLDS``
+folds by their id and are scored by a model of the other folds; the threshold of a
+language is a quantile of the perplexities that its trusted documents get so. The
+models of all folds are one set of tables, with the fold that is left out as a
+part of every key.
 
 Defined results: a null or empty text has no tokens, no perplexity, and is kept
-(there is nothing to reject); a language without held-out documents, null
-included, takes the quantile over all languages, and with no trusted documents
+(there is nothing to reject); a language without trusted documents, null
+included, takes the quantile over all languages; with no trusted documents, or
+with all of them in one fold (as one alone is), there is no threshold and
 everything is kept; ids that repeat are scored row by row; extra columns pass
 through ``accept`` and are ignored elsewhere; an empty table gives an empty result.
 """
@@ -39,7 +43,9 @@ from .names import fresh
 
 ORDER = 4
 QUANTILE = 0.99
-MARGIN = 1.15
+FOLDS = 5
+#: In place of a fold: the model that leaves none out.
+WHOLE = FOLDS
 #: Characters of text in a block, more or less: a block holds at least one document.
 BLOCK_CHARS = 16_000_000
 #: Characters whose n-grams are in memory at a time (a longer text is one step).
@@ -97,17 +103,31 @@ def _block_id(ids: list, texts: list[str]) -> int:
     return int(np.uint64(h.intdigest()).view(np.int64))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """gram, n: the n-grams of column ``body`` and how often they occur."""
+def _by_fold(folds: list[int], texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The texts of each fold that occurs."""
+    for f in sorted(set(folds)):
+        yield f, [t for t, g in zip(texts, folds, strict=True) if g == f]
+
+
+def counted(docs: DataFrame, fold: Column | None = None) -> DataFrame:
+    """fold, gram, n: the n-grams of column ``body`` and how often they occur; with ``fold`` also without the rows of each fold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["body"].to_pylist()
+            folds, texts = batch["fold"].to_pylist(), batch["body"].to_pylist()
             for a, b in _blocks(texts):
-                gram, n = distinct(texts[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
+                for f, part in _by_fold(folds[a:b], texts[a:b]):
+                    gram, n = distinct(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([f] * len(gram), pa.int32()), pa.array(gram.view(np.int64)), pa.array(n)], names=["fold", "gram", "n"])
 
-    return docs.select("body").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = docs.select("body", (F.lit(WHOLE) if fold is None else fold).cast("int").alias("fold")).mapInArrow(count, "fold int, gram long, n long")
+    if fold is None:
+        return rows.groupBy("fold", "gram").agg(F.sum("n").alias("n"))
+    # One row for each n-gram is dealt out; the models' counts are made from it afterwards.
+    own = [F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)) for f in range(FOLDS)]
+    wide = rows.groupBy("gram").agg(F.array(*own).alias("own"), F.sum("n").alias("all"))
+    left = F.concat(F.transform("own", lambda x: F.col("all") - x), F.array("all"))
+    return wide.select("gram", F.posexplode(left).alias("fold", "n")).where("n > 0").select("fold", "gram", "n")
 
 
 def _part(gram: Column, skip: int, length: int) -> Column:
@@ -116,64 +136,73 @@ def _part(gram: Column, skip: int, length: int) -> Column:
     return F.shiftrightunsigned(gram, 16 * skip).bitwiseAND(F.lit(mask if length < 4 else -1))
 
 
+def _of_fold(values: dict[int, float]) -> Column:
+    """The value of a row's fold."""
+    return F.element_at(F.create_map(*(F.lit(x) for f, v in values.items() for x in (f, float(v)))), F.col("fold")) if values else F.lit(0.0)
+
+
 class Model:
-    """Count tables of every order: for k < ORDER, the number of distinct units before a k-gram takes the place of its count."""
+    """Count tables of every order and fold: for k < ORDER, the number of distinct units before a k-gram takes the place of its count."""
 
     def __init__(self, counts: DataFrame) -> None:
         self.counts, self.contexts, self.discounts = {}, {}, {}
         table = cut(counts)
         for k in range(ORDER, 0, -1):
             if k < ORDER:
-                table = cut(table.groupBy(_part(F.col("gram"), 0, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+                table = cut(table.groupBy("fold", _part(F.col("gram"), 0, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
             self.counts[k] = table
-            # Four numbers a level reach the driver.
-            n = table.agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)), F.count(F.lit(1)).alias("all"), F.sum("n").alias("sum")).first()
-            n1, n2, n3, n4 = (float(n[f"n{i}"]) for i in range(1, 5))
-            y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-            raw = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-            self.discounts[k] = tuple(min(max(d, 0.05), i - 0.05) for i, d in enumerate(raw, 1))
+            # Six numbers a level and fold reach the driver.
+            found = table.groupBy("fold").agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)), F.count(F.lit(1)).alias("all"), F.sum("n").alias("sum")).collect()
+            self.discounts[k] = {}
+            for n in found:
+                n1, n2, n3, n4 = (float(n[f"n{i}"]) for i in range(1, 5))
+                y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+                raw = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+                self.discounts[k][n["fold"]] = tuple(min(max(d, 0.05), i - 0.05) for i, d in enumerate(raw, 1))
             if k > 1:
-                self.contexts[k] = table.groupBy(_part(F.col("gram"), 1, k - 1).alias("context")).agg(
+                self.contexts[k] = table.groupBy("fold", _part(F.col("gram"), 1, k - 1).alias("context")).agg(
                     F.sum("n").alias("total"), *(F.count_if(F.col("n") == i).alias(f"c{i}") for i in (1, 2)), F.count_if(F.col("n") > 2).alias("c3")
                 )
             else:
-                self.unigrams = (n["all"], n["sum"] or 0)
+                self.unigrams = {n["fold"]: (n["all"], n["sum"]) for n in found}
 
     def log_probability(self, wanted: DataFrame) -> DataFrame:
-        """``wanted`` (gram, distinct) with ``logp``, by joins with the tables of each order."""
+        """``wanted`` (fold, gram, distinct) with ``logp``, by joins with the tables of each order."""
         out = wanted
         for k in range(1, ORDER + 1):
-            table = self.counts[k].select(F.col("gram").alias(f"g{k}"), F.col("n").alias(f"n{k}"))
-            out = out.join(table, _part(F.col("gram"), 0, k) == F.col(f"g{k}"), "left")
+            table = self.counts[k].select(F.col("fold").alias(f"f{k}"), F.col("gram").alias(f"g{k}"), F.col("n").alias(f"n{k}"))
+            out = out.join(table, (_part(F.col("gram"), 0, k) == F.col(f"g{k}")) & (F.col("fold") == F.col(f"f{k}")), "left")
             if k > 1:
                 names = ("total", "c1", "c2", "c3")
-                context = self.contexts[k].select(F.col("context").alias(f"h{k}"), *(F.col(c).alias(f"{c}_{k}") for c in names))
-                out = out.join(context, _part(F.col("gram"), 1, k - 1) == F.col(f"h{k}"), "left")
-        types, total = self.unigrams
+                context = self.contexts[k].select(F.col("fold").alias(f"e{k}"), F.col("context").alias(f"h{k}"), *(F.col(c).alias(f"{c}_{k}") for c in names))
+                out = out.join(context, (_part(F.col("gram"), 1, k - 1) == F.col(f"h{k}")) & (F.col("fold") == F.col(f"e{k}")), "left")
+        types, total = (_of_fold({f: n[i] for f, n in self.unigrams.items()}) for i in (0, 1))
         # One more type stands for all unseen units; each seen one gives it a part of its count.
-        d = min(self.discounts[1][2], 1.0)
-        p = (F.greatest(F.coalesce("n1", F.lit(0)) - d, F.lit(0.0)) + d * types / (types + 1)) / max(total, 1)
+        d = _of_fold({f: min(x[2], 1.0) for f, x in self.discounts[1].items()})
+        p = (F.greatest(F.coalesce("n1", F.lit(0)) - d, F.lit(0.0)) + d * types / (types + 1)) / F.greatest(total, F.lit(1.0))
         for k in range(2, ORDER + 1):
-            d1, d2, d3 = self.discounts[k]
+            d1, d2, d3 = (_of_fold({f: x[i] for f, x in self.discounts[k].items()}) for i in range(3))
             n = F.coalesce(f"n{k}", F.lit(0))
             discount = F.when(n == 0, 0.0).when(n == 1, d1).when(n == 2, d2).otherwise(d3)
             left = (d1 * F.col(f"c1_{k}") + d2 * F.col(f"c2_{k}") + d3 * F.col(f"c3_{k}")) / F.col(f"total_{k}")
             p = F.when(F.col(f"total_{k}").isNull(), p).otherwise((n - discount) / F.col(f"total_{k}") + left * p)
-        return out.select("gram", F.log(F.greatest(p, F.lit(1e-30))).cast("float").alias("logp"))
+        return out.select("fold", "gram", F.log(F.greatest(p, F.lit(1e-30))).cast("float").alias("logp"))
 
 
 def _listed(docs: DataFrame) -> DataFrame:
-    """block, gram: the distinct n-grams of every block."""
+    """block, fold, gram: the distinct n-grams of every block's folds."""
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["body"].to_pylist()
+            ids, texts, folds = batch["doc_id"].to_pylist(), batch["body"].to_pylist(), batch["fold"].to_pylist()
             for a, b in _blocks(texts):
-                gram = distinct(texts[a:b])[0].view(np.int64)
-                block = np.full(len(gram), _block_id(ids[a:b], texts[a:b]), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(gram)], names=["block", "gram"])
+                name = _block_id(ids[a:b], texts[a:b])
+                for f, part in _by_fold(folds[a:b], texts[a:b]):
+                    gram = distinct(part)[0].view(np.int64)
+                    block, fold = np.full(len(gram), name, dtype=np.int64), np.full(len(gram), f, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(fold), pa.array(gram)], names=["block", "fold", "gram"])
 
-    return docs.select("doc_id", "body").mapInArrow(listing, "block long, gram long")
+    return docs.select("doc_id", "body", "fold").mapInArrow(listing, "block long, fold int, gram long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -194,20 +223,20 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _tables(scored: DataFrame) -> DataFrame:
-    """block, gram and logp (as bytes): each task's share of a block's table in one row."""
+    """block, fold, gram and logp (as bytes): each task's share of a block's table of a fold in one row."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, held, size = zstandard.ZstdCompressor(level=1), [], 0
 
         def emit() -> pa.RecordBatch:
-            block, gram, logp = (np.concatenate([b[c].to_numpy(zero_copy_only=False) for b in held]) for c in ("block", "gram", "logp"))
-            order = np.lexsort((gram, block))
-            block, gram, logp = block[order], gram[order], logp[order]
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            block, fold, gram, logp = (np.concatenate([b[c].to_numpy(zero_copy_only=False) for b in held]) for c in ("block", "fold", "gram", "logp"))
+            order = np.lexsort((gram, fold, block))
+            block, fold, gram, logp = block[order], fold[order], gram[order], logp[order]
+            first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (fold[1:] != fold[:-1])])
             ends = np.r_[first[1:], len(block)]
             steps = [press.compress(np.diff(gram[a:b], prepend=0).astype("<i8").tobytes()) for a, b in zip(first, ends, strict=True)]
             values = [logp[a:b].astype("<f4").tobytes() for a, b in zip(first, ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(steps, pa.binary()), pa.array(values, pa.binary())], names=["block", "gram", "logp"])
+            return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(fold[first]), pa.array(steps, pa.binary()), pa.array(values, pa.binary())], names=["block", "fold", "gram", "logp"])
 
         for batch in batches:
             if len(batch):
@@ -219,7 +248,7 @@ def _tables(scored: DataFrame) -> DataFrame:
         if held:
             yield emit()
 
-    return scored.mapInArrow(gather, "block long, gram binary, logp binary")
+    return scored.mapInArrow(gather, "block long, fold int, gram binary, logp binary")
 
 
 def _look_up(gram: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -234,32 +263,35 @@ def _look_up(gram: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarr
     return values[at]
 
 
-def perplexity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """doc_id, lang, n_tokens and perplexity of every row of ``docs``."""
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+def perplexity(docs: DataFrame, model: Model, text: str = "text", fold: Column | None = None) -> DataFrame:
+    """doc_id, lang, n_tokens and perplexity of every row of ``docs``, by the model without its ``fold``."""
+    own = (F.lit(WHOLE) if fold is None else fold).cast("int").alias("fold")
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"), own)
     listed = _listed(rows)
-    known = cut(model.log_probability(listed.select("gram").distinct()))
-    tables = _tables(listed.join(known, "gram").select("block", "gram", "logp"))
+    known = cut(model.log_probability(listed.select("fold", "gram").distinct()))
+    tables = _tables(listed.join(known, ["fold", "gram"]).select("block", "fold", "gram", "logp"))
     schema = "doc_id {}, lang string, n_tokens long, perplexity double".format(docs.schema["doc_id"].dataType.simpleString())
 
     def score(packs: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(shares):
-            keys = np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(x), dtype="<i8")) for x in shares["gram"]]).view(np.uint64)
-            values = np.concatenate([np.frombuffer(x, dtype="<f4") for x in shares["logp"]])
+        out, known = [], {}
+        for f, part in shares.groupby("fold"):
+            keys = np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(x), dtype="<i8")) for x in part["gram"]]).view(np.uint64)
+            values = np.concatenate([np.frombuffer(x, dtype="<f4") for x in part["logp"]])
             keys, first = np.unique(keys, return_index=True)
-            values = values[first]
+            known[f] = keys, values[first]
         for data in packs["data"]:
             table = pa.ipc.open_stream(zstandard.decompress(data)).read_all()
-            texts, total, sizes = table["body"].to_pylist(), [], []
-            for a in range(0, len(texts), 128):
-                gram, n = grams(texts[a : a + 128])
-                logp = np.r_[0.0, np.cumsum(_look_up(gram, keys, values), dtype=np.float64)] if len(gram) else np.zeros(1)
-                ends = np.cumsum(n)
-                total.append(logp[ends] - logp[ends - n])
-                sizes.append(n)
-            n = np.concatenate(sizes) if sizes else np.zeros(0)
-            mean = -np.concatenate(total) / np.maximum(n, 1) if total else n
+            texts, folds = table["body"].to_pylist(), table["fold"].to_numpy()
+            total, n = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+            for f in np.unique(folds):
+                places = np.flatnonzero(folds == f)
+                for a in range(0, len(places), 128):
+                    at = places[a : a + 128]
+                    gram, n[at] = grams([texts[i] for i in at])
+                    logp = np.r_[0.0, np.cumsum(_look_up(gram, *known[f]), dtype=np.float64)] if len(gram) else np.zeros(1)
+                    ends = np.cumsum(n[at])
+                    total[at] = logp[ends] - logp[ends - n[at]]
+            mean = -total / np.maximum(n, 1)
             out.append(pd.DataFrame({"doc_id": table["doc_id"].to_pandas(), "lang": table["lang"].to_pandas(), "n_tokens": n, "perplexity": np.where(n > 0, np.exp(mean), np.nan)}))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "lang": [], "n_tokens": [], "perplexity": []})
 
@@ -267,33 +299,37 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return scored.withColumn("perplexity", F.nanvl("perplexity", F.lit(None)))
 
 
-def _held_out(column: str) -> Column:
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
+def _fold(column: str) -> Column:
+    return (F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS).cast("int")
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, text: str = "text") -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold, accepted of every row; ``trusted`` has the ids of trusted documents."""
     text_batches(docs)
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    learned = ids.where(~_held_out("id"))
-    chosen = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).join(F.broadcast(learned) if few else learned, F.col("doc_id") == F.col("id"), "left_semi")
-    model = Model(counted(chosen))
-    scored = cut(perplexity(docs, model, text))
-    held = scored.join(ids.where(_held_out("id")), F.col("doc_id") == F.col("id"), "left_semi").where("perplexity is not null")
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)) * margin
-    # A row for each language that has held-out documents.
+    rows = docs.select("doc_id", "lang", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    rows = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left")
+    # Blocks are made twice from these rows, so their order must not change in between, as it can after a shuffle.
+    rows = rows if few else cut(rows)
+    model = Model(counted(rows.where("id is not null"), _fold("id")))
+    # A fold that holds all trusted documents leaves nothing to learn from.
+    crossed = _fold("id").isin([f for f in model.unigrams if f != WHOLE])
+    scored = cut(perplexity(rows, model, "body", F.when(crossed, _fold("id")).otherwise(WHOLE)))
+    held = scored.join(ids.where(crossed), F.col("doc_id") == F.col("id"), "left_semi").where("perplexity is not null")
+    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000))
+    # A row for each language that has trusted documents.
     limits = held.groupBy(F.col("lang").alias("l")).agg(at.alias("limit"))
-    everywhere = held.agg(at.alias("limit")).first()["limit"] if model.unigrams[0] else None
+    everywhere = held.agg(at.alias("limit")).first()["limit"]
     threshold = F.coalesce(F.col("limit"), F.lit(everywhere).cast("double"))
     out = scored.join(limits, F.col("lang") == F.col("l"), "left").withColumn("threshold", threshold)
     accepted = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select("doc_id", "lang", "n_tokens", "perplexity", "threshold", accepted.alias("accepted"))
 
 
-def accept(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def accept(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The documents that the model accepts, with their columns."""
     name = fresh(docs, "gone")
-    gone = cut(classify(docs, trusted, quantile, margin).where("not accepted and doc_id is not null").select(F.col("doc_id").alias(name)).distinct())
+    gone = cut(classify(docs, trusted, quantile).where("not accepted and doc_id is not null").select(F.col("doc_id").alias(name)).distinct())
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(name), "left_anti")
