@@ -13,10 +13,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 7
+#: Rows of a bucket of draws, more or less.
+BUCKET_ROWS = 10_000
 
 
 def _sums(rows: DataFrame, step: Callable[[np.ndarray], tuple[np.ndarray, ...]], names: str) -> list[np.ndarray]:
@@ -180,25 +182,34 @@ def farthest(rows: DataFrame, k: int) -> list[int]:
 
 
 def cur_columns(rows: DataFrame, c: int, seed: int = SEED, leverage: int | None = None) -> DataFrame:
-    """id, copies: ``c`` draws of rows by squared norm, or by leverage on the first ``leverage`` directions; repeats are merged.
+    """id, copies: exactly ``c`` draws of rows by squared norm, or by leverage on the first ``leverage`` directions; repeats are merged.
 
-    Draws are the positions of c seeded uniform numbers in each row's cumulative share.
+    Draws are the positions of c seeded uniform numbers in each row's cumulative share;
+    rows without weight are never drawn, and without any weight the result is empty.
     """
     if leverage:
         v, s, _ = gram_svd(rows, leverage)
         weighed = _map(rows, lambda x: ((x @ v / np.maximum(s, 1e-12)) ** 2).sum(axis=1, keepdims=True)).withColumn("weight", F.element_at("h", 1))
     else:
         weighed = rows.withColumn("weight", F.aggregate("x", F.lit(0.0).cast("double"), lambda a, x: a + x * x))
-    # A row is drawn Poisson(c * share) times: independent draws that need no order of the rows.
-    total = weighed.agg(F.sum("weight").alias("t")).first()["t"]
-    rate = F.col("weight") * (c / total)
-    u = (F.xxhash64("id", F.lit(seed)).cast("double") / 2.0**63 + 1) / 2
-    term, cdf, copies = F.exp(-rate), F.exp(-rate), F.lit(0)
-    for n in range(1, 8):
-        copies = copies + (u > cdf).cast("int")
-        term = term * rate / n
-        cdf = cdf + term
-    return weighed.withColumn("copies", copies).where("copies > 0").select("id", "copies")
+    # The cumulative share in two levels: buckets of rows by hash, then the rows of a bucket in which draws fall.
+    weighed = weighed.where("weight > 0")
+    buckets = weighed.count() // BUCKET_ROWS + 1
+    weighed = weighed.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets)))
+    sums = weighed.groupBy("bucket").agg(F.sum("weight").alias("s")).orderBy("bucket").collect()
+    ends = np.cumsum([r["s"] for r in sums])
+    drawn: dict[int, list[float]] = {}
+    for u in np.random.default_rng(seed).random(c) * ends[-1] if sums else ():
+        at = min(int(np.searchsorted(ends, u, side="right")), len(sums) - 1)
+        drawn.setdefault(sums[at]["bucket"], []).append(float(u - (ends[at - 1] if at else 0.0)))
+    draws = rows.sparkSession.createDataFrame(list(drawn.items()), "bucket long, places array<double>")
+    w = Window.partitionBy("bucket").orderBy("id")
+    end = F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    placed = weighed.join(F.broadcast(draws), "bucket").withColumn("end", end)
+    placed = placed.withColumn("start", F.lag("end", 1, 0.0).over(w)).withColumn("last", F.lead("end").over(w).isNull())
+    # The last row takes what rounding puts past a bucket's end.
+    copies = F.size(F.filter("places", lambda u: (u >= F.col("start")) & ((u < F.col("end")) | F.col("last"))))
+    return placed.withColumn("copies", copies).where("copies > 0").select("id", "copies")
 
 
 def distance(a, b, kind: str):
