@@ -14,9 +14,20 @@ of leading zeros and ``MANTISSA`` further bits (16 bits in all). Bands of
   which any member that resembles some other one resembles at least as much.
   Members are dealt over tasks of ``CHUNK``, each with a copy of the leaders, so
   neither a task nor the number of pairs grows with the square of a group.
-* What the leaders leave apart is settled exactly: in a larger bucket the members
-  outside its main component meet all members of other components, in blocks of
-  ``BLOCK`` by ``BLOCK``, once for all buckets of one main component.
+* A member that has enough other bands to find its partners there leaves the
+  larger buckets (see ``_staying``): a passage that very many texts share crowds
+  some bands of each, but by far not all.
+* What the leaders leave apart is settled exactly, without comparing all members.
+  All buckets with one main component are a group, and its most central member
+  the pivot. If u is not similar to the pivot, and v is no shorter than it, then
+  similar u and v share a shingle that the pivot has not: else u would share as
+  much with the pivot. So every member names its shingles outside the pivot, as
+  many as a prefix filter asks for, and those that members of several components
+  name propose pairs, as small buckets do. A shingle that more than ``SMALL``
+  members name is a bucket of the next round (a group within the group, with a
+  pivot of its own), for ``LEVELS`` rounds; what is left then, and the few pairs
+  with a v shorter than the pivot and nearly all of it inside it, meet in blocks
+  of ``BLOCK`` by ``BLOCK``.
 
 Proposed pairs are confirmed on the full sets; components are those of the
 confirmed links. Registers accept a pair ``SLACK`` standard deviations below the
@@ -32,6 +43,7 @@ and are ignored elsewhere; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -50,6 +62,9 @@ PERCENT = 80
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 SMALL, LEADERS, CHUNK, BLOCK = 16, 12, 256, 512
 SLACK = 5.0
+LEVELS = 3
+#: Chance of losing a partner up to which a document leaves the larger buckets.
+MISS = 1e-6
 #: Ids of at most this many documents are broadcast (8 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -145,8 +160,61 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, text: str) -> DataFrame
     return chosen.mapInArrow(build, "rep long, hashes binary")
 
 
+def _hint(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has few enough rows (of some tens of bytes)."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose full sets are similar; ``pairs`` have passed ``_thinned``."""
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = [similar(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), percent) for x, y in zip(batch["s_a"], batch["s_b"], strict=True)]
+            yield batch.loc[np.array(good, dtype=bool), ["a", "b"]]
+
+    full = lambda end: sets.select(F.col("rep").alias(end), F.col("hashes").alias(f"s_{end}"))
+    return pairs.join(full("a"), "a").join(full("b"), "b").mapInPandas(confirm, "a long, b long")
+
+
+def _thinned(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that their registers allow."""
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                a, b = (np.frombuffer(b"".join(batch[c]), dtype="<u2").reshape(len(batch), REGISTERS) for c in ("r_a", "r_b"))
+                yield batch.loc[plausible(a, b, percent), ["a", "b"]]
+
+    regs = lambda end: reps.select(F.col("rep").alias(end), F.col("registers").alias(f"r_{end}"))
+    return pairs.join(regs("a"), "a").join(regs("b"), "b").mapInPandas(thin, "a long, b long")
+
+
+def _staying(large: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """rep: the members of larger buckets that their other bands alone would not do for.
+
+    With a share q of its bands in larger buckets, and bands that agree with a
+    partner's with probability a, a document misses a partner in all its other
+    bands with probability ((1 - a) / (1 - q)) ** (number of others), as a partner
+    that shares what all of the crowd shares does so in at most q of the bands.
+    Up to ``MISS`` the smaller buckets, where all pairs meet, do the whole work.
+    """
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                r = np.frombuffer(b"".join(batch["registers"]), dtype="<u2").reshape(len(batch), -1, ROWS)
+                used, crowded = np.count_nonzero(r.any(axis=2), axis=1), batch["crowded"].to_numpy()
+                agree, share = (percent / 100) ** (np.count_nonzero(r, axis=(1, 2)) / used), crowded / used
+                miss = np.where(agree > share, ((1 - agree) / np.maximum(1 - share, 1e-9)) ** (used - crowded), 1.0)
+                yield batch.loc[miss > MISS, ["rep"]]
+
+    counts = large.groupBy("rep").agg(F.count(F.lit(1)).alias("crowded"))
+    return counts.join(reps.select("rep", "registers"), "rep").mapInPandas(choose, "rep long")
+
+
 def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Confirmed links a, b between classes (``reps``: rep, registers, doc_id of a member); the larger buckets (rep, band, members); their members' sets."""
+    """Confirmed links a, b between classes (``reps``: rep, registers, doc_id of a member); the larger buckets (rep, band); their members' sets."""
     bands = _bands(reps)
     crowded = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = cut(bands.join(crowded, "band"))
@@ -154,17 +222,10 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, text: str
     small = met.where(F.col("members") <= SMALL)
     left, right = small.select("band", F.col("rep").alias("a")), small.select("band", F.col("rep").alias("b"))
     pairs = left.join(right, "band").where("a < b").select("a", "b").distinct()
-    regs = lambda end: reps.select(F.col("rep").alias(end), F.col("registers").alias(f"r_{end}"))
-
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                a, b = (np.frombuffer(b"".join(batch[c]), dtype="<u2").reshape(len(batch), REGISTERS) for c in ("r_a", "r_b"))
-                yield batch.loc[plausible(a, b, percent), ["a", "b"]]
-
-    near = cut(pairs.join(regs("a"), "a").join(regs("b"), "b").mapInPandas(thin, "a long, b long"))
+    near = cut(_thinned(pairs, reps, percent))
     # Large buckets: a member goes to its most and its least crowded one.
     large = met.where(F.col("members") > SMALL)
+    large = cut(large.join(_staying(large, reps, percent), "rep", "left_semi"))
     centrality = large.groupBy("rep").agg(F.sum(F.log2("members")).alias("weight"), F.min(F.struct("members", "band")).alias("least"), F.max(F.struct("members", "band")).alias("most"))
     member = centrality.select("rep", F.explode(F.array_distinct(F.array("least", "most"))).alias("home")).select("rep", "home.*")
     homes = member.select("band", "members").distinct()
@@ -181,14 +242,6 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, text: str
     wanted = near.select(F.col("a").alias("rep")).union(near.select("b")).union(member.select("rep")).union(leaders.select("rep")).distinct()
     sets = cut(_sets(docs, wanted.join(reps.select("rep", "doc_id"), "rep"), words, text).dropDuplicates(["rep"]))
 
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = [similar(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), percent) for x, y in zip(batch["s_a"], batch["s_b"], strict=True)]
-            yield batch.loc[np.array(good, dtype=bool), ["a", "b"]]
-
-    full = lambda end: sets.select(F.col("rep").alias(end), F.col("hashes").alias(f"s_{end}"))
-    confirmed = near.join(full("a"), "a").join(full("b"), "b").mapInPandas(confirm, "a long, b long")
-
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         heads, members, found = rows[rows["head"]], rows[~rows["head"]], []
         if len(members) and len(heads):
@@ -203,25 +256,104 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, text: str
     crowd = member.withColumn("head", F.lit(False)).union(leaders.withColumn("head", F.lit(True)))
     crowd = crowd.join(sets, "rep").join(reps.select("rep", "registers"), "rep")
     starred = crowd.groupBy("band", "chunk").applyInPandas(meet, "a long, b long")
-    return confirmed.union(starred), large.select("rep", "band", "members"), sets
+    return _confirmed(near, sets, percent).union(starred), large.select("rep", "band"), sets
 
 
-def leftovers(large: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: confirmed links between members of one larger bucket that are in different components (``labels``: node, component)."""
-    named = large.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+#: What a pivot says of a member: linked with it (``e`` is the pivot), has the
+#: shingle ``e`` that the pivot has not, may be like a shorter one, is a shorter one.
+LINK, OWN, ASKS, SHORT = 0, 1, 2, 3
+
+
+def _groups(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """main, rep, component, weight (buckets), size of the members of all buckets with several components; main is a bucket's largest one.
+
+    The buckets of one group have one main component, and a member stands there once.
+    """
+    named = buckets.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     mains = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
     mains = mains.where("all > top.n").select("band", F.col("top.component").alias("main"))
-    # The bands of one group have one main component, and a member stands there once.
-    placed = cut(named.join(mains, "band").select("main", "rep", "component").distinct())
-    counts = placed.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).alias("rows"))
-    placed = placed.join(counts, "main")
+    placed = named.join(mains, "band").groupBy("main", "rep").agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("weight"))
+    return placed.join(sets.select("rep", F.expr("octet_length(hashes) div 8").alias("size")), "rep")
+
+
+def _told(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """main, rep, component, kind, e: what the pivot of every group (the main component's member of most buckets) says of the members."""
+    counts = placed.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"), F.min("size").alias("least"))
+    pivots = placed.where("component = main").groupBy("main").agg(F.max_by("rep", F.struct("weight", "rep")).alias("pivot"))
+    heads = counts.join(pivots, "main").join(sets.select(F.col("rep").alias("pivot"), F.col("hashes").alias("pivoted")), "pivot")
+    heads = heads.select("main", "pivot", "pivoted", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    dealt = placed.join(_hint(counts.select("main", "chunks")), "main").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
+    both = dealt.join(sets, "rep").join(heads, ["main", "chunk"]).select("main", "rep", "component", "hashes", "pivot", "pivoted", "least")
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple] = []
+            for main, rep, component, own, pivot, other, least in batch.itertuples(index=False):
+                x, y = np.frombuffer(own, dtype="<u8"), np.frombuffer(other, dtype="<u8")
+                at = np.minimum(np.searchsorted(y, x), y.size - 1)
+                mine = x[y[at] != x]
+                inside = x.size - mine.size
+                linked = (100 + percent) * inside >= percent * (x.size + y.size)
+                if component != main:
+                    if linked:
+                        out.append((main, rep, component, LINK, pivot))
+                    elif (100 + percent) * inside >= percent * (x.size + least):
+                        out.append((main, rep, component, ASKS, 0))
+                if x.size < y.size and 100 * inside >= percent * x.size:
+                    out.append((main, rep, component, SHORT, 0))
+                # A partner shares at least so many shingles that the pivot has not; so one of it is among these.
+                shares = max(1, -(-percent * x.size // 100) - inside)
+                out += [(main, rep, component, OWN, e) for e in mine[: max(mine.size - shares + 1, 0)].view(np.int64).tolist()]
+            yield pd.DataFrame(out, columns=["main", "rep", "component", "kind", "e"]).astype({"kind": "int32"})
+
+    return both.mapInPandas(tell, "main long, rep long, component long, kind int, e long")
+
+
+def leftovers(large: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: confirmed links between members of one larger bucket that are in different components (``labels``: node, component)."""
+    schema, spark = "a long, b long", large.sparkSession
+    found, asking, asked = [], [], []
+    buckets = large
+    for level in range(LEVELS + 1):
+        placed = cut(_groups(buckets, labels, sets))
+        if placed.isEmpty():
+            break
+        named = placed.select(F.xxhash64("main", F.lit(level)).alias("main"), "rep", "component", (F.col("component") != F.col("main")).alias("other"))
+        if level == LEVELS:
+            asking.append(named.where("other").drop("other"))
+            asked.append(named.drop("other"))
+            break
+        told = cut(_told(placed, sets, percent))
+        kinds = {r["kind"] for r in told.select("kind").distinct().collect()}  # at most four
+        found.append(told.where(F.col("kind") == LINK).select(F.col("rep").alias("a"), F.col("e").alias("b")))
+        if {ASKS, SHORT} <= kinds:
+            member = lambda kind: told.where(F.col("kind") == kind).select(F.xxhash64("main", F.lit(level)).alias("main"), "rep", "component")  # noqa: B023, E731
+            asking.append(member(ASKS))
+            asked.append(member(SHORT))
+        own = told.where(F.col("kind") == OWN).select(F.xxhash64("main", "e").alias("band"), "rep", "component")
+        mixed_up = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "n")
+        met = cut(own.join(mixed_up, "band"))
+        end = lambda name: met.where(F.col("n") <= SMALL).select("band", F.col("rep").alias(name), F.col("component").alias(f"c_{name}"))  # noqa: B023, E731
+        pairs = end("a").join(end("b"), "band").where("a < b and c_a <> c_b").select("a", "b").distinct()
+        found.append(_confirmed(cut(_thinned(pairs, reps, percent)), sets, percent))
+        buckets = met.where(F.col("n") > SMALL).select("rep", "band")
+    if asking:
+        union = lambda parts: reduce(DataFrame.union, parts)
+        found.append(_blocks(union(asking), union(asked), reps, sets, percent))
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
+
+
+def _blocks(asking: DataFrame, asked: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: confirmed links of ``asking`` and ``asked`` members (main, rep, component) of one group, in blocks of ``BLOCK`` by ``BLOCK``."""
+    counts = asked.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    counts = _hint(cut(counts.join(asking.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("rows")), "main")))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     keys = ["main", "block", "row"]
     columns = ["rep", "main", "component", "block", "row", "other"]
-    members = placed.withColumns({"block": own("blocks"), "row": every("rows"), "other": F.lit(False)}).select(columns)
-    others = placed.where("component <> main").withColumns({"row": own("rows"), "block": every("blocks"), "other": F.lit(True)}).select(columns)
+    members = asked.join(counts, "main").withColumns({"block": own("blocks"), "row": every("rows"), "other": F.lit(False)}).select(columns)
+    others = asking.join(counts, "main").withColumns({"row": own("rows"), "block": every("blocks"), "other": F.lit(True)}).select(columns)
 
     def likely(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, Iterator[np.ndarray]]:
         """Others, members, and for each of the others the members of other components that it may resemble."""
