@@ -20,55 +20,106 @@ Extra columns are not carried.
 
 from __future__ import annotations
 
-import base64
+import os
+import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
+from itertools import chain, pairwise
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ..session import cut, text_batches
 
 CAPACITY = 1024
 CLOSING_ID = 2
 BUCKET_ROWS = 2000
-#: Texts whose ids are in memory at a time.
-TEXTS = 500
-SPECIAL = {"<|endoftext|>": 50256}
+#: Bytes of text whose ids are in memory at a time (a longer text by itself).
+TEXT_BYTES = 500_000
+#: Words whose ids a task keeps, and characters of the longest one kept.
+KEPT_WORDS, LONG_WORD = 300_000, 64
 
 
-def default_vocabulary() -> tuple[str, str]:
-    """The rank file that holds the vocabulary of byte_bpe_50k.json, and its split pattern."""
+def default_vocabulary() -> str:
+    """The file of the public byte-level BPE with 50,257 ids."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-
-
-def encoder(path: str, pattern: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a rank file; gives the ids of the JSON file of the same vocabulary."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
-
-
-def pieces(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity: int = CAPACITY, with_ids: bool = False, text: str = "text") -> DataFrame:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+class Encoder:
+    """Token ids by ``tokenizers``, with the ids of words kept.
+
+    The byte-level tokeniser always parts a text before a blank between two other
+    characters, so the pieces between such places are encoded by themselves, those
+    not met before in one call. A text without such a place is encoded whole.
+    """
+
+    PLACE = re.compile(r"(?<=\S)(?=\x20\S)")
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text."""
+        parts = [self.PLACE.split(t) for t in texts]
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        unseen, long = [], {}
+        for word in set(chain.from_iterable(parts)) - self.known.keys():
+            if len(word) > LONG_WORD:
+                long[word] = self._ids([word])[0]
+            else:
+                unseen.append(word)
+        for k in range(0, len(unseen), 2000):
+            some = unseen[k : k + 2000]
+            self.known.update(zip(some, self._ids(some), strict=True))
+        known = ChainMap(long, self.known) if long else self.known
+        return [np.frombuffer(b"".join(map(known.__getitem__, p)), dtype="<u4") for p in parts]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        made = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(made.ids, dtype="<u4")
+        ends = np.searchsorted(np.array(made.word_ids, dtype=np.int64), np.arange(len(words) + 1)).tolist()
+        return [ids[i:j].tobytes() for i, j in pairwise(ends)]
+
+
+def _some(bodies: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``TEXT_BYTES`` (a longer text by itself)."""
+    sizes, start, held = pc.binary_length(bodies).to_numpy(zero_copy_only=False), 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > start and held + n > TEXT_BYTES:
+            yield start, k
+            start, held = k, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, text: str = "text") -> DataFrame:
     """Every document's token ids, cut: doc_id, piece, start, length, ids_crc32 (and ids)."""
-    path, pattern = vocabulary or default_vocabulary()
-    kept: list[tiktoken.Encoding] = []
+    path = vocabulary or default_vocabulary()
+    kept: list[Encoder] = []
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not kept:
-            kept.append(encoder(path, pattern))
-        parts = (batch.slice(k, TEXTS) for batch in batches for k in range(0, len(batch), TEXTS))
-        for batch in parts:
+            kept.append(Encoder(path))
+        for batch in (b.slice(i, j - i) for b in batches for i, j in _some(b["body"])):
             rows: list[tuple] = []
-            for doc_id, body in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), strict=True):
-                ids = np.array([*kept[0].encode(body, allowed_special="all"), CLOSING_ID], dtype="<u4")
+            encoded = kept[0].encode(batch["body"].to_pylist())
+            for doc_id, own in zip(batch["doc_id"].to_pylist(), encoded, strict=True):
+                ids = np.append(own, np.array([CLOSING_ID], dtype="<u4"))
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                for k, (a, b) in enumerate(pairwise(cuts)):
                     rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].astype("int32")] if with_ids else [])))
             cols = list(zip(*rows, strict=True)) or [()] * (5 + with_ids)
             types = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
@@ -129,7 +180,7 @@ def _closest_pair(free: np.ndarray, room: int) -> tuple[int, int] | None:
     return (int(have[best]), int(small[best])) if total[best] else None
 
 
-def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity: int = CAPACITY, with_ids: bool = False, text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, text: str = "text") -> DataFrame:
     """The pieces of all documents with sequence_id and offset (place in the sequence)."""
     text_batches(docs)
     # Read twice (counts, ranks), tokenised once.
@@ -139,10 +190,15 @@ def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity: i
     counts = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     levels = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
     cuts = cuts.withColumn("bucket", F.pmod("row", F.lit(levels)))
-    sizes = cuts.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("here"))
-    before = sizes.select(
-        F.col("length").alias("l"), F.col("bucket").alias("b"), (F.sum("here").over(Window.partitionBy("length").orderBy("bucket")) - F.col("here")).alias("before")
-    )
+    # Bucket counts are summed up in two levels too, so no window holds more than about the root of them.
+    wide = max(1, isqrt(levels))
+    sizes = cuts.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("here")).withColumn("slab", F.expr(f"bucket div {wide}"))
+    slabs = sizes.groupBy("length", "slab").agg(F.sum("here").alias("whole"))
+    earlier = F.sum("whole").over(Window.partitionBy("length").orderBy("slab")) - F.col("whole")
+    slabs = slabs.select(F.col("length").alias("sl"), F.col("slab").alias("sb"), earlier.alias("earlier"))
+    within = F.sum("here").over(Window.partitionBy("length", "slab").orderBy("bucket")) - F.col("here")
+    before = sizes.withColumn("within", within).join(slabs, (F.col("length") == F.col("sl")) & (F.col("slab") == F.col("sb")))
+    before = before.select(F.col("length").alias("l"), F.col("bucket").alias("b"), (F.col("earlier") + F.col("within")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row"))
     ranked = (
         cuts.withColumn("inside", inside)
