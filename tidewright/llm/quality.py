@@ -7,7 +7,7 @@ tables sharded by n-gram; the probability of every n-gram that occurs in the
 corpus is found by joining them.
 
 A document is not split into its n-grams to be scored. Documents are packed into
-blocks of some MB; a block lists its distinct n-grams once, the joins give these
+blocks of some MB, which are written once; a block lists its distinct n-grams once, the joins give these
 their probabilities, and the block's packed texts (the only shuffle of text,
 compressed) meet the block's own table. What moves so grows with the corpus, but
 far less than its n-grams.
@@ -22,7 +22,8 @@ Defined results: a null or empty text has no tokens, no perplexity, and is kept
 (there is nothing to reject); a language without trusted documents, null
 included, takes the quantile over all languages; with no trusted documents, or
 with all of them in one fold (as one alone is), there is no threshold and
-everything is kept; ids that repeat are scored row by row; extra columns pass
+everything is kept; ids that repeat are scored row by row, but ``accept`` drops all
+rows of an id of which one is rejected, and keeps rows with a null id; extra columns pass
 through ``accept`` and are ignored elsewhere; an empty table gives an empty result.
 """
 
@@ -33,8 +34,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,8 @@ BLOCK_CHARS = 16_000_000
 STEP_CHARS = 500_000
 #: Scored n-grams that go into one row for each of their blocks.
 GATHERED = 100_000
+#: Count tables of at most this many rows (some tens of bytes each) are broadcast.
+BROADCAST_GRAMS = 200_000
 #: Ids of at most this many trusted documents are broadcast (9 bytes each).
 BROADCAST_ROWS = 1_000_000
 PAD = b"\0" * (2 * (ORDER - 1))
@@ -94,15 +97,6 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _block_id(ids: list, texts: list[str]) -> int:
-    """A number that the same rows always get; two blocks of equal rows share it and have equal tables."""
-    h = xxhash.xxh3_64()
-    for i, t in zip(ids, texts, strict=True):
-        h.update(f"{i} {len(t)} ".encode())
-        h.update(t[:64].encode("utf-8", "replace"))
-    return int(np.uint64(h.intdigest()).view(np.int64))
-
-
 def _by_fold(folds: list[int], texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     """The texts of each fold that occurs."""
     for f in sorted(set(folds)):
@@ -145,7 +139,7 @@ class Model:
     """Count tables of every order and fold: for k < ORDER, the number of distinct units before a k-gram takes the place of its count."""
 
     def __init__(self, counts: DataFrame) -> None:
-        self.counts, self.contexts, self.discounts = {}, {}, {}
+        self.counts, self.contexts, self.discounts, rows = {}, {}, {}, {}
         table = cut(counts)
         for k in range(ORDER, 0, -1):
             if k < ORDER:
@@ -153,7 +147,7 @@ class Model:
             self.counts[k] = table
             # Six numbers a level and fold reach the driver.
             found = table.groupBy("fold").agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)), F.count(F.lit(1)).alias("all"), F.sum("n").alias("sum")).collect()
-            self.discounts[k] = {}
+            self.discounts[k], rows[k] = {}, sum(n["all"] for n in found)
             for n in found:
                 n1, n2, n3, n4 = (float(n[f"n{i}"]) for i in range(1, 5))
                 y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
@@ -165,6 +159,12 @@ class Model:
                 )
             else:
                 self.unigrams = {n["fold"]: (n["all"], n["sum"]) for n in found}
+        # A context is a shorter n-gram or nothing but padding. Short ones are few and hot (a blank), so they are sent to the others.
+        for k in range(1, ORDER + 1):
+            if rows[k] <= BROADCAST_GRAMS:
+                self.counts[k] = F.broadcast(self.counts[k])
+            if k > 1 and rows[k - 1] + FOLDS + 1 <= BROADCAST_GRAMS:
+                self.contexts[k] = F.broadcast(self.contexts[k])
 
     def log_probability(self, wanted: DataFrame) -> DataFrame:
         """``wanted`` (fold, gram, distinct) with ``logp``, by joins with the tables of each order."""
@@ -189,39 +189,45 @@ class Model:
         return out.select("fold", "gram", F.log(F.greatest(p, F.lit(1e-30))).cast("float").alias("logp"))
 
 
-def _listed(docs: DataFrame) -> DataFrame:
-    """block, fold, gram: the distinct n-grams of every block's folds."""
-
-    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, folds = batch["doc_id"].to_pylist(), batch["body"].to_pylist(), batch["fold"].to_pylist()
-            for a, b in _blocks(texts):
-                name = _block_id(ids[a:b], texts[a:b])
-                for f, part in _by_fold(folds[a:b], texts[a:b]):
-                    gram = distinct(part)[0].view(np.int64)
-                    block, fold = np.full(len(gram), name, dtype=np.int64), np.full(len(gram), f, dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(fold), pa.array(gram)], names=["block", "fold", "gram"])
-
-    return docs.select("doc_id", "body", "fold").mapInArrow(listing, "block long, fold int, gram long")
-
-
 def _packed(docs: DataFrame) -> DataFrame:
-    """block, data: every block's rows, compressed."""
+    """block, data: blocks of rows, compressed.
+
+    The number of a block is that of its task and its place there, so it is fixed
+    once these rows are written, and only then.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press, number = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["body"].to_pylist()
-            for a, b in _blocks(texts):
+            for a, b in _blocks(batch["body"].to_pylist()):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema) as writer:
                     writer.write_batch(batch.slice(a, b - a))
-                data = press.compress(sink.getvalue())
-                yield pa.RecordBatch.from_arrays([pa.array([_block_id(ids[a:b], texts[a:b])]), pa.array([data], pa.binary())], names=["block", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([press.compress(sink.getvalue())], pa.binary())], names=["block", "data"])
+                number += 1
 
     return docs.mapInArrow(pack, "block long, data binary")
 
 
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(data)).read_all()
+
+
+def _listed(packs: DataFrame) -> DataFrame:
+    """block, fold, gram: the distinct n-grams of every block's folds."""
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch["block"].to_pylist(), batch["data"], strict=True):
+                rows = _unpacked(data.as_py())
+                for f, part in _by_fold(rows["fold"].to_pylist(), rows["body"].to_pylist()):
+                    gram = distinct(part)[0].view(np.int64)
+                    block, fold = np.full(len(gram), name, dtype=np.int64), np.full(len(gram), f, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(fold), pa.array(gram)], names=["block", "fold", "gram"])
+
+    return packs.mapInArrow(listing, "block long, fold int, gram long")
+
+
 def _tables(scored: DataFrame) -> DataFrame:
     """block, fold, gram and logp (as bytes): each task's share of a block's table of a fold in one row."""
 
@@ -259,7 +265,10 @@ def _look_up(gram: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarr
     slot[hashed(keys)] = np.arange(len(keys), dtype=np.int32)
     at = slot[hashed(gram)]
     lost = np.flatnonzero(keys[at] != gram)
-    at[lost] = np.searchsorted(keys, gram[lost])
+    found = np.minimum(np.searchsorted(keys, gram[lost]), len(keys) - 1)
+    if np.any(keys[found] != gram[lost]):
+        raise ValueError("an n-gram of the block is not in its table")
+    at[lost] = found
     return values[at]
 
 
@@ -267,7 +276,8 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text", fold: Column |
     """doc_id, lang, n_tokens and perplexity of every row of ``docs``, by the model without its ``fold``."""
     own = (F.lit(WHOLE) if fold is None else fold).cast("int").alias("fold")
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"), own)
-    listed = _listed(rows)
+    packs = cut(_packed(rows))
+    listed = _listed(packs)
     known = cut(model.log_probability(listed.select("fold", "gram").distinct()))
     tables = _tables(listed.join(known, ["fold", "gram"]).select("block", "fold", "gram", "logp"))
     schema = "doc_id {}, lang string, n_tokens long, perplexity double".format(docs.schema["doc_id"].dataType.simpleString())
@@ -280,7 +290,7 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text", fold: Column |
             keys, first = np.unique(keys, return_index=True)
             known[f] = keys, values[first]
         for data in packs["data"]:
-            table = pa.ipc.open_stream(zstandard.decompress(data)).read_all()
+            table = _unpacked(data)
             texts, folds = table["body"].to_pylist(), table["fold"].to_numpy()
             total, n = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
             for f in np.unique(folds):
@@ -295,7 +305,7 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text", fold: Column |
             out.append(pd.DataFrame({"doc_id": table["doc_id"].to_pandas(), "lang": table["lang"].to_pandas(), "n_tokens": n, "perplexity": np.where(n > 0, np.exp(mean), np.nan)}))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "lang": [], "n_tokens": [], "perplexity": []})
 
-    scored = _packed(rows).groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(score, schema)
+    scored = packs.groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(score, schema)
     return scored.withColumn("perplexity", F.nanvl("perplexity", F.lit(None)))
 
 
@@ -310,8 +320,6 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, te
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", "lang", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
     rows = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left")
-    # Blocks are made twice from these rows, so their order must not change in between, as it can after a shuffle.
-    rows = rows if few else cut(rows)
     model = Model(counted(rows.where("id is not null"), _fold("id")))
     # A fold that holds all trusted documents leaves nothing to learn from.
     crossed = _fold("id").isin([f for f in model.unigrams if f != WHOLE])
