@@ -33,29 +33,47 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    A temporary one is made only where that setting is absent (tests on one machine).
+    A temporary one is made only where that setting is absent and Spark runs on one machine.
     """
     context = spark.sparkContext
     own = context._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
-    folder = context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
+    folder = context.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
     context.setCheckpointDir(folder)
     return folder
 
 
+#: Narrow rows to a partition, where a table of few rows need not be spread over all partitions of a shuffle.
+NARROW_ROWS = 100_000
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and cut its lineage there, so that a lost executor never takes the data with it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def cut_narrow(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` for rows of a few numbers: in as many partitions as its rows ask for (at most as many as before), and that number."""
+    written = cut(df)
+    parts = max(1, -(-written.count() // NARROW_ROWS))
+    return written.coalesce(parts), parts
+
+
 #: Rows of whole texts in one Arrow batch.
 TEXT_ROWS = 2000
 
 
 def text_batches(df: DataFrame) -> None:
-    """Limit the session's Arrow batches to ``TEXT_ROWS`` rows, as texts are wide and a batch is held on both sides; a lower limit stays."""
+    """Limit the session's Arrow batches to ``TEXT_ROWS`` rows, as texts are wide and a batch is held on both sides; a lower limit stays.
+
+    The limit is read when a query runs, which is after an operator has returned it, so it stays set.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= TEXT_ROWS:
         conf.set(key, str(TEXT_ROWS))
