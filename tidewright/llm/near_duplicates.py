@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, text_batches
+from ..session import cut, cut_narrow, text_batches
 from .components import components
 from .names import fresh
 from .shingles import mixed, shared, shingle_set
@@ -166,7 +166,7 @@ def _hint(df: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets are similar; ``pairs`` have passed ``_thinned``."""
+    """The pairs a, b (written) whose full sets are similar."""
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -174,11 +174,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.loc[np.array(good, dtype=bool), ["a", "b"]]
 
     full = lambda end: sets.select(F.col("rep").alias(end), F.col("hashes").alias(f"s_{end}"))
-    return pairs.join(full("a"), "a").join(full("b"), "b").mapInPandas(confirm, "a long, b long")
+    return _hint(pairs).join(full("a"), "a").join(full("b"), "b").mapInPandas(confirm, "a long, b long")
 
 
 def _thinned(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b that their registers allow."""
+    """The pairs a, b (written) that their registers allow."""
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,7 +187,7 @@ def _thinned(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 yield batch.loc[plausible(a, b, percent), ["a", "b"]]
 
     regs = lambda end: reps.select(F.col("rep").alias(end), F.col("registers").alias(f"r_{end}"))
-    return pairs.join(regs("a"), "a").join(regs("b"), "b").mapInPandas(thin, "a long, b long")
+    return _hint(pairs).join(regs("a"), "a").join(regs("b"), "b").mapInPandas(thin, "a long, b long")
 
 
 def _staying(large: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -217,15 +217,16 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, text: str
     """Confirmed links a, b between classes (``reps``: rep, registers, doc_id of a member); the larger buckets (rep, band); their members' sets."""
     bands = _bands(reps)
     crowded = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = cut(bands.join(crowded, "band"))
+    met, parts = cut_narrow(bands.join(crowded, "band"))
     # Pairs of small buckets; each band has every representative once.
     small = met.where(F.col("members") <= SMALL)
     left, right = small.select("band", F.col("rep").alias("a")), small.select("band", F.col("rep").alias("b"))
-    pairs = left.join(right, "band").where("a < b").select("a", "b").distinct()
-    near = cut(_thinned(pairs, reps, percent))
+    pairs, _ = cut_narrow(left.join(right, "band").where("a < b").select("a", "b").coalesce(parts).distinct())
+    near, _ = cut_narrow(_thinned(pairs, reps, percent))
     # Large buckets: a member goes to its most and its least crowded one.
     large = met.where(F.col("members") > SMALL)
-    large = cut(large.join(_staying(large, reps, percent), "rep", "left_semi"))
+    staying, _ = cut_narrow(_staying(large, reps, percent))
+    large, _ = cut_narrow(large.join(_hint(staying), "rep", "left_semi"))
     centrality = large.groupBy("rep").agg(F.sum(F.log2("members")).alias("weight"), F.min(F.struct("members", "band")).alias("least"), F.max(F.struct("members", "band")).alias("most"))
     member = centrality.select("rep", F.explode(F.array_distinct(F.array("least", "most"))).alias("home")).select("rep", "home.*")
     homes = member.select("band", "members").distinct()
@@ -237,8 +238,8 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int, text: str
         .where(F.col("place") <= LEADERS)
     )
     chunks = F.ceil(F.col("members") / CHUNK)
-    member = cut(member.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks)).select("rep", "band", "chunk"))
-    leaders = cut(leaders.select("rep", "band", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk")))
+    member, _ = cut_narrow(member.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks)).select("rep", "band", "chunk"))
+    leaders, _ = cut_narrow(leaders.select("rep", "band", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk")))
     wanted = near.select(F.col("a").alias("rep")).union(near.select("b")).union(member.select("rep")).union(leaders.select("rep")).distinct()
     sets = cut(_sets(docs, wanted.join(reps.select("rep", "doc_id"), "rep"), words, text).dropDuplicates(["rep"]))
 
@@ -316,15 +317,19 @@ def leftovers(large: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFr
     found, asking, asked = [], [], []
     buckets = large
     for level in range(LEVELS + 1):
-        placed = cut(_groups(buckets, labels, sets))
+        placed, _ = cut_narrow(_groups(buckets, labels, sets))
         if placed.isEmpty():
             break
+        if not level:
+            # Later rounds are about the same members or fewer.
+            members = _hint(placed.select("rep").distinct())
+            sets, reps = (t.join(members, "rep", "left_semi") for t in (sets, reps))
         named = placed.select(F.xxhash64("main", F.lit(level)).alias("main"), "rep", "component", (F.col("component") != F.col("main")).alias("other"))
         if level == LEVELS:
             asking.append(named.where("other").drop("other"))
             asked.append(named.drop("other"))
             break
-        told = cut(_told(placed, sets, percent))
+        told, parts = cut_narrow(_told(placed, sets, percent))
         kinds = {r["kind"] for r in told.select("kind").distinct().collect()}  # at most four
         found.append(told.where(F.col("kind") == LINK).select(F.col("rep").alias("a"), F.col("e").alias("b")))
         if {ASKS, SHORT} <= kinds:
@@ -333,10 +338,10 @@ def leftovers(large: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFr
             asked.append(member(SHORT))
         own = told.where(F.col("kind") == OWN).select(F.xxhash64("main", "e").alias("band"), "rep", "component")
         mixed_up = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "n")
-        met = cut(own.join(mixed_up, "band"))
+        met, _ = cut_narrow(own.join(mixed_up, "band").coalesce(parts))
         end = lambda name: met.where(F.col("n") <= SMALL).select("band", F.col("rep").alias(name), F.col("component").alias(f"c_{name}"))  # noqa: B023, E731
-        pairs = end("a").join(end("b"), "band").where("a < b and c_a <> c_b").select("a", "b").distinct()
-        found.append(_confirmed(cut(_thinned(pairs, reps, percent)), sets, percent))
+        pairs, _ = cut_narrow(end("a").join(end("b"), "band").where("a < b and c_a <> c_b").select("a", "b").coalesce(parts).distinct())
+        found.append(_confirmed(cut_narrow(_thinned(pairs, reps, percent))[0], sets, percent))
         buckets = met.where(F.col("n") > SMALL).select("rep", "band")
     if asking:
         union = lambda parts: reduce(DataFrame.union, parts)
@@ -347,7 +352,7 @@ def leftovers(large: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFr
 def _blocks(asking: DataFrame, asked: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: confirmed links of ``asking`` and ``asked`` members (main, rep, component) of one group, in blocks of ``BLOCK`` by ``BLOCK``."""
     counts = asked.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    counts = _hint(cut(counts.join(asking.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("rows")), "main")))
+    counts = _hint(cut_narrow(counts.join(asking.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("rows")), "main"))[0])
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     keys = ["main", "block", "row"]
@@ -399,7 +404,7 @@ def _blocks(asking: DataFrame, asked: DataFrame, reps: DataFrame, sets: DataFram
 
     bits = reps.select("rep", "registers")
     schema = "rep long, main long, component long, block long, row long, other boolean"
-    kept = cut(members.union(others).join(bits, "rep").groupBy(*keys).applyInPandas(narrow, schema))
+    kept, _ = cut_narrow(members.union(others).join(bits, "rep").groupBy(*keys).applyInPandas(narrow, schema))
     return kept.join(bits, "rep").join(sets, "rep").groupBy(*keys).applyInPandas(settle, "a long, b long")
 
 
@@ -413,10 +418,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     tied = linked.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("doc_id", "least")
     ties = linked.join(tied, "doc_id").select(F.col("node").alias("a"), F.col("least").alias("b"))
     confirmed, large, sets = links(docs, classes, words, percent, text)
-    found = cut(components(confirmed.union(ties)))
+    found, _ = cut_narrow(components(confirmed.union(ties)))
     named = classes.select("rep", "doc_id").join(found, F.col("rep") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
-    named = cut(named)
-    more = cut(leftovers(large, found, classes, sets, percent))
+    named, _ = cut_narrow(named)
+    more, _ = cut_narrow(leftovers(large, found, classes, sets, percent))
     if not more.isEmpty():
         # Few links, between components: these are what is joined up now.
         label = lambda end: named.select(F.col("rep").alias(end), F.col("component").alias(f"c_{end}"))
