@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -48,7 +49,7 @@ FOLDS = 5
 #: In place of a fold: the model that leaves none out.
 WHOLE = FOLDS
 #: Characters of text in a block, more or less: a block holds at least one document.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 #: Characters whose n-grams are in memory at a time (a longer text is one step).
 STEP_CHARS = 500_000
 #: Scored n-grams that go into one row for each of their blocks.
@@ -85,14 +86,14 @@ def distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys, times
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that make up a block."""
-    start, size = 0, 0
+def _blocks(texts: list[str], first: int = 0) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that make up a block; the first range has ``first`` characters (0: as many as the others)."""
+    start, size, room = 0, 0, first or BLOCK_CHARS
     for k, t in enumerate(texts):
         size += len(t)
-        if size >= BLOCK_CHARS:
+        if size >= room:
             yield start, k + 1
-            start, size = k + 1, 0
+            start, size, room = k + 1, 0, BLOCK_CHARS
     if start < len(texts):
         yield start, len(texts)
 
@@ -190,7 +191,7 @@ class Model:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """block, data: blocks of rows, compressed.
+    """block, fold, data: blocks of rows of one fold, compressed.
 
     The number of a block is that of its task and its place there, so it is fixed
     once these rows are written, and only then.
@@ -198,15 +199,32 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, number = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
+        held: dict[int, list[pa.RecordBatch]] = {}
+        sizes: dict[int, int] = {}
+
+        def emit(f: int) -> pa.RecordBatch:
+            nonlocal number
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[f][0].schema) as writer:
+                for part in held.pop(f):
+                    writer.write_batch(part)
+            sizes.pop(f)
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([f], pa.int32()), pa.array([press.compress(sink.getvalue())], pa.binary())], names=["block", "fold", "data"])
+
         for batch in batches:
-            for a, b in _blocks(batch["body"].to_pylist()):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema) as writer:
-                    writer.write_batch(batch.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([press.compress(sink.getvalue())], pa.binary())], names=["block", "data"])
-                number += 1
+            for f in batch["fold"].unique().to_pylist():
+                part = batch.filter(pc.equal(batch["fold"], f)).select(["doc_id", "lang", "body"])
+                for a, b in _blocks(part["body"].to_pylist(), BLOCK_CHARS - sizes.get(f, 0)):
+                    some = part.slice(a, b - a)
+                    held.setdefault(f, []).append(some)
+                    sizes[f] = sizes.get(f, 0) + pc.sum(pc.utf8_length(some["body"])).as_py()
+                    if sizes[f] >= BLOCK_CHARS:
+                        yield emit(f)
+        for f in list(held):
+            yield emit(f)
 
-    return docs.mapInArrow(pack, "block long, data binary")
+    return docs.mapInArrow(pack, "block long, fold int, data binary")
 
 
 def _unpacked(data: bytes) -> pa.Table:
@@ -214,35 +232,33 @@ def _unpacked(data: bytes) -> pa.Table:
 
 
 def _listed(packs: DataFrame) -> DataFrame:
-    """block, fold, gram: the distinct n-grams of every block's folds."""
+    """block, fold, gram: the distinct n-grams of every block."""
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch["block"].to_pylist(), batch["data"], strict=True):
-                rows = _unpacked(data.as_py())
-                for f, part in _by_fold(rows["fold"].to_pylist(), rows["body"].to_pylist()):
-                    gram = distinct(part)[0].view(np.int64)
-                    block, fold = np.full(len(gram), name, dtype=np.int64), np.full(len(gram), f, dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(fold), pa.array(gram)], names=["block", "fold", "gram"])
+            for name, f, data in zip(batch["block"].to_pylist(), batch["fold"].to_pylist(), batch["data"], strict=True):
+                gram = distinct(_unpacked(data.as_py())["body"].to_pylist())[0].view(np.int64)
+                block, fold = np.full(len(gram), name, dtype=np.int64), np.full(len(gram), f, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(fold), pa.array(gram)], names=["block", "fold", "gram"])
 
     return packs.mapInArrow(listing, "block long, fold int, gram long")
 
 
 def _tables(scored: DataFrame) -> DataFrame:
-    """block, fold, gram and logp (as bytes): each task's share of a block's table of a fold in one row."""
+    """block, gram and logp (as bytes): each task's share of a block's table in one row."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, held, size = zstandard.ZstdCompressor(level=1), [], 0
 
         def emit() -> pa.RecordBatch:
-            block, fold, gram, logp = (np.concatenate([b[c].to_numpy(zero_copy_only=False) for b in held]) for c in ("block", "fold", "gram", "logp"))
-            order = np.lexsort((gram, fold, block))
-            block, fold, gram, logp = block[order], fold[order], gram[order], logp[order]
-            first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (fold[1:] != fold[:-1])])
+            block, gram, logp = (np.concatenate([b[c].to_numpy(zero_copy_only=False) for b in held]) for c in ("block", "gram", "logp"))
+            order = np.lexsort((gram, block))
+            block, gram, logp = block[order], gram[order], logp[order]
+            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             ends = np.r_[first[1:], len(block)]
             steps = [press.compress(np.diff(gram[a:b], prepend=0).astype("<i8").tobytes()) for a, b in zip(first, ends, strict=True)]
             values = [logp[a:b].astype("<f4").tobytes() for a, b in zip(first, ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(fold[first]), pa.array(steps, pa.binary()), pa.array(values, pa.binary())], names=["block", "fold", "gram", "logp"])
+            return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(steps, pa.binary()), pa.array(values, pa.binary())], names=["block", "gram", "logp"])
 
         for batch in batches:
             if len(batch):
@@ -254,7 +270,7 @@ def _tables(scored: DataFrame) -> DataFrame:
         if held:
             yield emit()
 
-    return scored.mapInArrow(gather, "block long, fold int, gram binary, logp binary")
+    return scored.mapInArrow(gather, "block long, gram binary, logp binary")
 
 
 def _look_up(gram: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -279,33 +295,31 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text", fold: Column |
     packs = cut(_packed(rows))
     listed = _listed(packs)
     known = cut(model.log_probability(listed.select("fold", "gram").distinct()))
-    tables = _tables(listed.join(known, ["fold", "gram"]).select("block", "fold", "gram", "logp"))
+    tables = _tables(listed.join(known, ["fold", "gram"]).select("block", "gram", "logp"))
     schema = "doc_id {}, lang string, n_tokens long, perplexity double".format(docs.schema["doc_id"].dataType.simpleString())
 
     def score(packs: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
-        out, known = [], {}
-        for f, part in shares.groupby("fold"):
-            keys = np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(x), dtype="<i8")) for x in part["gram"]]).view(np.uint64)
-            values = np.concatenate([np.frombuffer(x, dtype="<f4") for x in part["logp"]])
+        out = []
+        if len(shares):
+            keys = np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(x), dtype="<i8")) for x in shares["gram"]]).view(np.uint64)
+            values = np.concatenate([np.frombuffer(x, dtype="<f4") for x in shares["logp"]])
             keys, first = np.unique(keys, return_index=True)
-            known[f] = keys, values[first]
+            values = values[first]
         for data in packs["data"]:
             table = _unpacked(data)
-            texts, folds = table["body"].to_pylist(), table["fold"].to_numpy()
+            texts = table["body"].to_pylist()
             total, n = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-            for f in np.unique(folds):
-                places = np.flatnonzero(folds == f)
-                for a in range(0, len(places), 128):
-                    at = places[a : a + 128]
-                    gram, n[at] = grams([texts[i] for i in at])
-                    logp = np.r_[0.0, np.cumsum(_look_up(gram, *known[f]), dtype=np.float64)] if len(gram) else np.zeros(1)
-                    ends = np.cumsum(n[at])
-                    total[at] = logp[ends] - logp[ends - n[at]]
+            for a in range(0, len(texts), 128):
+                gram, n[a : a + 128] = grams(texts[a : a + 128])
+                if len(gram):
+                    logp = np.r_[0.0, np.cumsum(_look_up(gram, keys, values), dtype=np.float64)]
+                    ends = np.cumsum(n[a : a + 128])
+                    total[a : a + 128] = logp[ends] - logp[ends - n[a : a + 128]]
             mean = -total / np.maximum(n, 1)
             out.append(pd.DataFrame({"doc_id": table["doc_id"].to_pandas(), "lang": table["lang"].to_pandas(), "n_tokens": n, "perplexity": np.where(n > 0, np.exp(mean), np.nan)}))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "lang": [], "n_tokens": [], "perplexity": []})
 
-    scored = packs.groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(score, schema)
+    scored = packs.select("block", "data").groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(score, schema)
     return scored.withColumn("perplexity", F.nanvl("perplexity", F.lit(None)))
 
 
