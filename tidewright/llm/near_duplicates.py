@@ -18,16 +18,16 @@ of leading zeros and ``MANTISSA`` further bits (16 bits in all). Bands of
   larger buckets (see ``_staying``): a passage that very many texts share crowds
   some bands of each, but by far not all.
 * What the leaders leave apart is settled exactly, without comparing all members.
-  All buckets with one main component are a group, and its most central member
+  All buckets with one main component are a group, and its member with most links
   the pivot. If u is not similar to the pivot, and v is no shorter than it, then
   similar u and v share a shingle that the pivot has not: else u would share as
   much with the pivot. So every member names its shingles outside the pivot, as
   many as a prefix filter asks for, and those that members of several components
-  name propose pairs, as small buckets do. A shingle that more than ``SMALL``
-  members name is a bucket of the next round (a group within the group, with a
-  pivot of its own), for ``LEVELS`` rounds; what is left then, and the few pairs
-  with a v shorter than the pivot and nearly all of it inside it, meet in blocks
-  of ``BLOCK`` by ``BLOCK``.
+  name propose pairs, as small buckets do. The members that name one shingle meet in
+  a block of at most ``BLOCK`` by ``BLOCK``; a shingle with more of them is a
+  bucket of the next round (a group within the group, with a pivot of its own),
+  for ``LEVELS`` rounds. What is left then, and the few pairs with a v shorter
+  than the pivot and nearly all of it inside it, meet in several blocks.
 
 Proposed pairs are confirmed on the full sets; components are those of the
 confirmed links. Registers accept a pair ``SLACK`` standard deviations below the
@@ -278,10 +278,11 @@ def _groups(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
     return placed.join(sets.select("rep", F.expr("octet_length(hashes) div 8").alias("size")), "rep")
 
 
-def _told(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """main, rep, component, kind, e: what the pivot of every group (the main component's member of most buckets) says of the members."""
+def _told(placed: DataFrame, degrees: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """main, rep, component, kind, e: what the pivot of every group says of the members; it is the main component's member with most links (``degrees``: rep, links)."""
     counts = placed.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"), F.min("size").alias("least"))
-    pivots = placed.where("component = main").groupBy("main").agg(F.max_by("rep", F.struct("weight", "rep")).alias("pivot"))
+    heads = placed.where("component = main").join(degrees, "rep", "left")
+    pivots = heads.groupBy("main").agg(F.max_by("rep", F.struct(F.coalesce("links", F.lit(0)), "weight", "rep")).alias("pivot"))
     heads = counts.join(pivots, "main").join(sets.select(F.col("rep").alias("pivot"), F.col("hashes").alias("pivoted")), "pivot")
     heads = heads.select("main", "pivot", "pivoted", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     dealt = placed.join(_hint(counts.select("main", "chunks")), "main").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
@@ -311,8 +312,8 @@ def _told(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(tell, "main long, rep long, component long, kind int, e long")
 
 
-def leftovers(large: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: confirmed links between members of one larger bucket that are in different components (``labels``: node, component)."""
+def leftovers(large: DataFrame, labels: DataFrame, confirmed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: further links between members of one larger bucket that are in different components (``labels``: node, component) by the ``confirmed`` ones."""
     schema, spark = "a long, b long", large.sparkSession
     found, asking, asked = [], [], []
     buckets = large
@@ -324,12 +325,14 @@ def leftovers(large: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFr
             # Later rounds are about the same members or fewer.
             members = _hint(placed.select("rep").distinct())
             sets, reps = (t.join(members, "rep", "left_semi") for t in (sets, reps))
+            degrees = confirmed.select(F.col("a").alias("rep")).union(confirmed.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+            degrees = _hint(cut_narrow(degrees)[0])
         named = placed.select(F.xxhash64("main", F.lit(level)).alias("main"), "rep", "component", (F.col("component") != F.col("main")).alias("other"))
         if level == LEVELS:
             asking.append(named.where("other").drop("other"))
             asked.append(named.drop("other"))
             break
-        told, parts = cut_narrow(_told(placed, sets, percent))
+        told, parts = cut_narrow(_told(placed, degrees, sets, percent))
         kinds = {r["kind"] for r in told.select("kind").distinct().collect()}  # at most four
         found.append(told.where(F.col("kind") == LINK).select(F.col("rep").alias("a"), F.col("e").alias("b")))
         if {ASKS, SHORT} <= kinds:
@@ -337,12 +340,16 @@ def leftovers(large: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFr
             asking.append(member(ASKS))
             asked.append(member(SHORT))
         own = told.where(F.col("kind") == OWN).select(F.xxhash64("main", "e").alias("band"), "rep", "component")
-        mixed_up = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "n")
+        mixed_up = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "n", "lo")
         met, _ = cut_narrow(own.join(mixed_up, "band").coalesce(parts))
         end = lambda name: met.where(F.col("n") <= SMALL).select("band", F.col("rep").alias(name), F.col("component").alias(f"c_{name}"))  # noqa: B023, E731
         pairs, _ = cut_narrow(end("a").join(end("b"), "band").where("a < b and c_a <> c_b").select("a", "b").coalesce(parts).distinct())
         found.append(_confirmed(cut_narrow(_thinned(pairs, reps, percent))[0], sets, percent))
-        buckets = met.where(F.col("n") > SMALL).select("rep", "band")
+        # Up to a block's members meet at once; the links of all of one component to the others are links of the others.
+        block = met.where((F.col("n") > SMALL) & (F.col("n") <= BLOCK)).select(F.xxhash64("band", F.lit(level)).alias("main"), "rep", "component", "lo")
+        asking.append(block.where("component <> lo").drop("lo"))
+        asked.append(block.drop("lo"))
+        buckets = met.where(F.col("n") > BLOCK).select("rep", "band")
     if asking:
         union = lambda parts: reduce(DataFrame.union, parts)
         found.append(_blocks(union(asking), union(asked), reps, sets, percent))
@@ -418,10 +425,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     tied = linked.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("doc_id", "least")
     ties = linked.join(tied, "doc_id").select(F.col("node").alias("a"), F.col("least").alias("b"))
     confirmed, large, sets = links(docs, classes, words, percent, text)
+    confirmed, _ = cut_narrow(confirmed)
     found, _ = cut_narrow(components(confirmed.union(ties)))
     named = classes.select("rep", "doc_id").join(found, F.col("rep") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
     named, _ = cut_narrow(named)
-    more, _ = cut_narrow(leftovers(large, found, classes, sets, percent))
+    more, _ = cut_narrow(leftovers(large, found, confirmed, classes, sets, percent))
     if not more.isEmpty():
         # Few links, between components: these are what is joined up now.
         label = lambda end: named.select(F.col("rep").alias(end), F.col("component").alias(f"c_{end}"))
