@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewright.functions import generators, layout
+from tidewright.functions import generators, layout, series
 from tidewright.operators import als, bound, control, factor, kernels
 
 
@@ -119,3 +119,27 @@ def test_lower_bound(spark):
     assert 0 <= low < high < 2 / 3
     gap = noisy.withColumn("v", F.when(F.col("t") != 599, F.col("v")))
     assert bound.lower_bound(gap, "t", "v", 500).first()[0] is None
+
+
+def test_projected_lags():
+    """Every lag vector with an observed value is projected, none after it."""
+    rng = np.random.default_rng(3)
+    u = np.linalg.qr(rng.normal(size=(4, 2)))[0]
+    p, w, x = u @ u.T, rng.normal(size=4) / 4, list(rng.normal(size=4))
+    got = kernels.recurse(np.array(x), w, 0.5, 7, p, 4)
+    for i in range(7):
+        lag = np.array(x[-4:])
+        x.append(0.5 + w @ (p @ lag if i < 4 else lag))
+    assert np.allclose(got, x[4:])
+
+
+def test_long_series_fill(spark):
+    values = [None, None, 3.0, None, None, None, None, None, 8.0, None, None, None]
+    df = spark.createDataFrame(list(enumerate(values)), "t long, value double")
+    for ahead, behind, want in (
+        (True, False, [None, None, 3, 3, 3, 3, 3, 3, 8, 8, 8, 8]),
+        (False, True, [3, 3, 3, 8, 8, 8, 8, 8, 8, None, None, None]),
+        (True, True, [3, 3, 3, 3, 3, 3, 3, 3, 8, 8, 8, 8]),
+    ):
+        got = series.fill_series(df.withColumn("seen", F.lit(1)), ahead, behind, slab=2).orderBy("t")
+        assert [r["filled"] for r in got.collect()] == want and got.columns == ["t", "value", "seen", "filled"]

@@ -53,8 +53,11 @@ def mask_runs(df: DataFrame, start_probability: float, max_run: int, seed: int,
     """
     length = F.when(F.rand(seed) < start_probability, F.floor(F.rand(seed + 1) * max_run) + 1).otherwise(0)
     w = Window.partitionBy(F.floor(F.col(order) / block)).orderBy(order).rowsBetween(-(max_run - 1), 0)
-    ends = F.max(F.col(order) + F.col("__run")).over(w)
-    return df.withColumn("__run", length).withColumn(value, F.when(ends > F.col(order), None).otherwise(F.col(value))).drop("__run")
+    name = "run"
+    while name in (c.lower() for c in df.columns):
+        name += "_"
+    ends = F.max(F.col(order) + F.col(name)).over(w)
+    return df.withColumn(name, length).withColumn(value, F.when(ends > F.col(order), None).otherwise(F.col(value))).drop(name)
 
 
 def arma(spark: SparkSession, n: int, ar: Sequence[float], ma: Sequence[float], std: float, seed: int, series: int = 1) -> DataFrame:

@@ -135,6 +135,34 @@ def backward_fill(df: DataFrame, by: list[str], order: str = "t", value: str = "
     return df.withColumn(out, F.first(value, ignorenulls=True).over(w))
 
 
+def fill_series(df: DataFrame, ahead: bool = True, behind: bool = True, slab: int = 4096, order: str = "t", value: str = "value", out: str = "filled") -> DataFrame:
+    """One long series filled by the last seen value (``ahead``), else by the next one (``behind``), in two levels.
+
+    Windows run inside slabs of ``slab`` steps; what a slab's edge needs comes from
+    a table of one row a slab, so no window holds the whole series.
+    """
+    part, last, first = (_free(df, c) for c in ("slab", "seen", "next"))
+    rows = df.withColumn(part, F.floor(F.col(order) / slab))
+    seen = F.when(F.col(value).isNotNull(), F.struct(order, value))
+    edges = rows.groupBy(part).agg(F.max(seen)[value].alias(last), F.min(seen)[value].alias(first))
+    over = Window.orderBy(part)
+    before = F.last(last, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(first, ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+    edges = edges.select(part, before.alias(last), after.alias(first))
+    w = Window.partitionBy(part).orderBy(order)
+    own_last = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    own_next = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    sources = [own_last, F.col(last)] * ahead + [own_next, F.col(first)] * behind
+    return rows.join(edges, part).withColumn(out, F.coalesce(*sources)).drop(part, last, first)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def observed(df: DataFrame, value: str = "value") -> Column:
     """Share of non-null values, an aggregate."""
     return F.count(value) / F.count(F.lit(1))

@@ -53,11 +53,8 @@ def append_columns(u: np.ndarray, s: np.ndarray, v: np.ndarray, new: np.ndarray,
     top = np.hstack([np.diag(s), inside])
     bottom = np.hstack([np.zeros((r.shape[0], len(s))), r])
     a, s2, b, _ = truncated(np.vstack([top, bottom]), k)
-    n = v.shape[0]
-    wide = np.zeros((n + new.shape[1], len(s) + new.shape[1]))
-    wide[:n, : len(s)] = v
-    wide[n:, len(s) :] = np.eye(new.shape[1])
-    return np.hstack([u, q]) @ a, s2, wide @ b
+    old = len(s)
+    return np.hstack([u, q]) @ a, s2, np.vstack([v @ b[:old], b[old:]])
 
 
 def fold_in(u: np.ndarray, s: np.ndarray, v: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,8 +65,8 @@ def fold_in(u: np.ndarray, s: np.ndarray, v: np.ndarray, new: np.ndarray) -> tup
 def recurse(lags: np.ndarray, weights: np.ndarray, bias: float, ahead: int, projection: np.ndarray | None = None, observed: int = 0) -> np.ndarray:
     """``ahead`` values: each is bias + weights . the last values (oldest first).
 
-    With a projection (uw uw'), lag vectors made of the first ``observed`` values
-    only are projected before they are used.
+    With a projection (uw uw'), the lag vectors of the first ``observed`` steps are
+    projected before they are used.
     """
     n = len(weights)
     out = np.concatenate([lags[-n:], np.zeros(ahead)]) if n else np.zeros(ahead)

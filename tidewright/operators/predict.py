@@ -60,7 +60,9 @@ def forecast(
 
     ``lags`` (series, t, value) are the steps before the recursion starts; missing
     ones are filled (or zero and scaled, as the index was fitted). It starts after
-    their last step, which may be before ``first``.
+    their last step, which may be before ``first``. With ``projected``, the lag
+    vectors of as many steps as there are lags (those that hold an observed value)
+    are projected on the left factors of the last but one sub-model.
     """
     weights, biases = averaged(coefficients, averaging)
     oldest_first = weights[::-1].copy()
@@ -70,8 +72,9 @@ def forecast(
         chosen = max(fitted.models - 2, 0)
         rows = fitted.part("uw").where(F.col("model") == chosen).select("idx", "vec").collect()
         uw = np.array([r["vec"] for r in sorted(rows, key=lambda r: r["idx"])])
-        if len(uw) == len(weights):
-            projection = uw @ uw.T
+        if len(uw) != len(weights):
+            raise ValueError("the sub-model before the last has another number of rows than the averaged weights, so lags can't be projected")
+        projection = uw @ uw.T
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("t")
@@ -81,7 +84,7 @@ def forecast(
         if len(values) < len(oldest_first):
             values = np.concatenate([np.full(len(oldest_first) - len(values), values[0] if len(values) else 0.0), values])
         number, end = int(batch["series"].iloc[0]), int(batch["t"].iloc[-1])
-        out = kernels.recurse(values, oldest_first, biases.get(number, 0.0), last - end, projection, 1)
+        out = kernels.recurse(values, oldest_first, biases.get(number, 0.0), last - end, projection, len(weights))
         return pd.DataFrame({"series": number, "t": np.arange(end + 1, last + 1), "estimate": out})
 
     # As many rows as lags for each series.

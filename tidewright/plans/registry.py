@@ -117,28 +117,23 @@ FILL_SQL = "last_value(value IGNORE NULLS) OVER (ORDER BY t ROWS UNBOUNDED PRECE
 BACK_SQL = "first_value(value IGNORE NULLS) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
 
 
-def by_day(df: DataFrame) -> DataFrame:
-    """Fills run within days (288 five-minute steps), so no window spans the whole series."""
-    return df.withColumn("day", F.floor(F.col("t") / 288))
+def fill_sql(expression: str) -> str:
+    return f"WITH {steps_sql(300)} SELECT t, round({expression}, 6) + 0.0 AS filled FROM s"
 
 
-def day_sql(expression: str) -> str:
-    return f"WITH {steps_sql(300)} SELECT t, round({expression.replace('OVER (', 'OVER (PARTITION BY t // 288 ')}, 6) + 0.0 AS filled FROM s"
-
-
-@query(day_sql(FILL_SQL))
+@query(fill_sql(FILL_SQL))
 def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.forward_fill(by_day(events_series(spark, sf_dir, 300)), ["day"]).select("t", r6("filled").alias("filled"))
+    return series.fill_series(events_series(spark, sf_dir, 300), behind=False, slab=288).select("t", r6("filled").alias("filled"))
 
 
-@query(day_sql(BACK_SQL))
+@query(fill_sql(BACK_SQL))
 def backward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.backward_fill(by_day(events_series(spark, sf_dir, 300)), ["day"]).select("t", r6("filled").alias("filled"))
+    return series.fill_series(events_series(spark, sf_dir, 300), ahead=False, slab=288).select("t", r6("filled").alias("filled"))
 
 
-@query(day_sql(f"coalesce({FILL_SQL}, {BACK_SQL})"))
+@query(fill_sql(f"coalesce({FILL_SQL}, {BACK_SQL})"))
 def fill_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.fill(by_day(events_series(spark, sf_dir, 300)), ["day"]).select("t", r6("filled").alias("filled"))
+    return series.fill_series(events_series(spark, sf_dir, 300), slab=288).select("t", r6("filled").alias("filled"))
 
 
 @query(f"WITH {steps_sql(300)} SELECT round(count(value) / count(*), 6) + 0.0 AS p FROM s")
@@ -237,10 +232,10 @@ def fit_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.part("weight").join(info, "model").select(F.col("model").cast("long").alias("model"), r6("val").alias("w"), r6("mean").alias("mean"), r6("std").alias("std"))
 
 
-@query(f"WITH {steps_sql(3600)}, {FIT_SQL}, {IMPUTE_SQL} SELECT t, round(estimate, 6) + 0.0 AS estimate FROM served WHERE t < 200")
+@query(f"WITH {steps_sql(3600)}, {FIT_SQL}, {IMPUTE_SQL} SELECT t, round(estimate, 6) + 0.0 AS estimate FROM served")
 def impute_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, f = fitted_l2(spark, sf_dir)
-    steps = spark.range(0, 200).withColumnRenamed("id", "t")
+    steps = spark.range(0, f.boundary + 1).withColumnRenamed("id", "t")
     return predict.impute(f, steps).select("t", r6("estimate").alias("estimate"))
 
 
@@ -287,7 +282,7 @@ def bounds_sql(alpha: float) -> str:
     return (
         f"WITH {steps_sql(3600)}, {FIT_SQL}, {IMPUTE_SQL}, {BOUND_SQL} SELECT t, round(a.estimate, 6) + 0.0 AS prediction, "
         f"round(a.estimate - {alpha!r} * sqrt(greatest(b.estimate, 0)), 6) + 0.0 AS lb, round(a.estimate + {alpha!r} * sqrt(greatest(b.estimate, 0)), 6) + 0.0 AS ub "
-        "FROM served a JOIN served2 b USING (t) WHERE t < 200"
+        "FROM served a JOIN served2 b USING (t)"
     )
 
 
@@ -305,7 +300,7 @@ def squared_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bounds_l2(spark: SparkSession, sf_dir: str, method: str, c: float) -> DataFrame:
     mean, variance = _variance_l2(spark, sf_dir)
-    steps = spark.range(0, 200).withColumnRenamed("id", "t")
+    steps = spark.range(0, mean.boundary + 1).withColumnRenamed("id", "t")
     out = predict.bounded(predict.impute(mean, steps), predict.impute(variance, steps), c, method)
     return out.select("t", *(r6(x).alias(x) for x in ("prediction", "lb", "ub")))
 
