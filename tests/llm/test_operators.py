@@ -16,13 +16,13 @@ from tidewright.llm import ann, decontamination, licenses, near_duplicates, pack
 from tidewright.llm.components import components
 
 #: Extra columns have the names of result and inner columns.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, pii string, key long, rank int, gone long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, pii string, key long, rank int, gone long, body string, hits_card string"
 WORDS = [f"w{i}" for i in range(300)]
 
 
 def table(spark, texts, ids=None):
     ids = range(len(texts)) if ids is None else ids
-    rows = [(i, t, "en" if k % 3 else None, f"s{k % 2}" if k % 5 else None, len(t or ""), None, None, "x", 1, 2, 3) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows = [(i, t, "en" if k % 3 else None, f"s{k % 2}" if k % 5 else None, len(t or ""), None, None, "x", 1, 2, 3, "b", "h") for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -247,6 +247,9 @@ def test_personal_data(spark, texts):
     clean = pii.redact(table(spark, known[:1])).first()["text"]
     assert clean == "card [CARD] iban [IBAN], ssn [SSN] social"
     assert pii.redact(table(spark, [None])).first()["text"] is None
+    found = pii.find(table(spark, known))
+    assert found.columns == table(spark, []).columns and {(r["body"], r["hits_card"]) for r in found.collect()} == {("b", "h")}
+    assert pii.digest(pii.find(table(spark, []))).count() == 0
 
 
 def dice(a, b):

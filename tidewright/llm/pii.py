@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 # The four base patterns, written so that Java neither backtracks
 # nor recurses. Run starts stand in for "leftmost": if the start of a run of
 # local-part characters (digits) fails, so does every later character of it.
@@ -132,25 +134,27 @@ def find(docs: DataFrame, min_score: float = MIN_SCORE, text: str = "text") -> D
     Places count code points, ends are exclusive. Spans of the four base kinds
     stay at any score; the added kinds (iban, ssn) need ``min_score``.
     """
-    # `__find_text`, `__hits_*`, `__gaps_*` are dropped before returning.
-    out = docs.withColumn("__find_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    t = F.col("__find_text")
+    # Names that the table does not have; they are dropped before returning.
+    body = fresh(docs, "body")
+    hit, gap = ({k: fresh(docs, f"{a}_{k}") for k in KINDS} for a in ("hits", "gaps"))
+    out = docs.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    t = F.col(body)
     none = F.expr("cast(array() as array<string>)")
     out = out.withColumns(
-        {f"__hits_{k}": F.when(t.rlike(GUARDS[k]), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none) for k, p in PATTERNS.items()}
+        {hit[k]: F.when(t.rlike(GUARDS[k]), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none) for k, p in PATTERNS.items()}
     )
-    out = out.withColumns({f"__gaps_{k}": F.when(F.size(f"__hits_{k}") > 0, F.split(t, p, -1)).otherwise(none) for k, p in PATTERNS.items()})
+    out = out.withColumns({gap[k]: F.when(F.size(hit[k]) > 0, F.split(t, p, -1)).otherwise(none) for k, p in PATTERNS.items()})
     empty = F.expr(f"cast(array() as {SPAN})")
     found = []
     for k in KINDS:
-        hits = F.col(f"__hits_{k}")
-        valid = F.filter(_placed(t, hits, F.col(f"__gaps_{k}"), k), lambda s: _valid(k, s["value"]))  # noqa: B023
+        hits = F.col(hit[k])
+        valid = F.filter(_placed(t, hits, F.col(gap[k]), k), lambda s: _valid(k, s["value"]))  # noqa: B023
         spans = _scored(t, valid, k)
         if k not in BASE_KINDS:
             spans = F.filter(spans, lambda s: s["score"] >= min_score)
         found.append(F.when(F.size(hits) > 0, spans).otherwise(empty))
     out = out.withColumn("pii", F.array_sort(F.concat(*found)))
-    return out.drop("__find_text", *(f"__{a}_{k}" for a in ("hits", "gaps") for k in KINDS))
+    return out.drop(body, *hit.values(), *gap.values())
 
 
 def redact(docs: DataFrame, min_score: float = MIN_SCORE, text: str = "text") -> DataFrame:
