@@ -3,7 +3,14 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet and reads again as the next stage's ``docs``. All but the last
 return the columns of ``documents``. The folder is the one that the cluster names
-in ``spark.checkpoint.dir``.
+in ``spark.checkpoint.dir``; a stage's rows are removed there once the next one's
+are written, the last stage's stay.
+
+Defined results: a null or empty text is kept by the first four stages and packed
+as the closing id alone; rows with a null id are kept by the first two, are one
+id to the third and are packed each; rows that repeat share their id's fate;
+an empty table gives an empty result with the last stage's columns; extra columns
+pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -64,4 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
     return docs
