@@ -15,12 +15,13 @@ def tokenizer():
     return Tokenizer.from_file(packing.default_vocabulary())
 
 
-def test_ids_of_any_text(tokenizer):
+def test_ids_of_any_text(tokenizer, monkeypatch):
     rng = random.Random(3)
     alphabet = ["a", "B", "é", "中", "\U0001f600", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", " ", "​", "'s", "1", ".", "<|endoftext|>", "\0", "ة", "́"]
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(6000)] + ["", " ", "a" * 300 + " b"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(6000)] + ["", " ", "a" * 300 + " b", "b " + "a" * 300, "x <|endoftext|> y", "a b\n", "a b \n c", "some words in a row, some words again"]
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     encoder = packing.Encoder(packing.default_vocabulary())
+    monkeypatch.setattr(packing, "KEPT_WORDS", 300)
     for k in range(0, len(texts), 500):
         assert [x.tolist() for x in encoder.encode(texts[k : k + 500])] == want[k : k + 500]
 

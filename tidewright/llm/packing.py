@@ -42,7 +42,7 @@ CLOSING_ID = 2
 BUCKET_ROWS = 2000
 #: Bytes of text whose ids are in memory at a time (a longer text by itself).
 TEXT_BYTES = 500_000
-#: Words whose ids a task keeps, and characters of the longest one kept.
+#: Words whose ids a task keeps (as many again from before), and characters of the longest one kept.
 KEPT_WORDS, LONG_WORD = 300_000, 64
 
 
@@ -57,8 +57,9 @@ class Encoder:
     """Token ids by ``tokenizers``, with the ids of words kept.
 
     The byte-level tokeniser always parts a text before a blank between two other
-    characters, so the pieces between such places are encoded by themselves, those
-    not met before in one call. A text without such a place is encoded whole.
+    characters, so what lies between such places has the same ids wherever it
+    stands. Words not met before are encoded in one call, set one after the other
+    with their blanks; the tokens that begin with a blank tell where each starts.
     """
 
     PLACE = re.compile(r"(?<=\S)(?=\x20\S)")
@@ -66,27 +67,51 @@ class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.blank = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        # \u0120 is how the vocabulary writes a blank.
+        self.blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
-        parts = [self.PLACE.split(t) for t in texts]
+        parts = [t.split(" ") for t in texts]
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
+        new = set(chain.from_iterable(p[1:] for p in parts)) - self.known.keys()
+        # A blank beside other white space is no place to part a text.
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        whole = [k for k, p in enumerate(parts) if not p[0] or p[0][-1].isspace() or (odd and not odd.isdisjoint(p))]
         unseen, long = [], {}
-        for word in set(chain.from_iterable(parts)) - self.known.keys():
-            if len(word) > LONG_WORD:
-                long[word] = self._ids([word])[0]
+        for word in new - odd:
+            if word in self.older:
+                self.known[word] = self.older[word]
+            elif len(word) > LONG_WORD:
+                long[word] = self._ids([" " + word])[0]
             else:
                 unseen.append(word)
         for k in range(0, len(unseen), 2000):
             some = unseen[k : k + 2000]
-            self.known.update(zip(some, self._ids(some), strict=True))
+            self.known.update(zip(some, self._joined([" " + w for w in some]), strict=True))
         known = ChainMap(long, self.known) if long else self.known
-        return [np.frombuffer(b"".join(map(known.__getitem__, p)), dtype="<u4") for p in parts]
+        firsts = self._ids([p[0] for p in parts])
+        skip, out = set(whole), []
+        for k, p in enumerate(parts):
+            made = b"".join(self._ids(self.PLACE.split(texts[k]))) if k in skip else firsts[k] + b"".join(map(known.__getitem__, p[1:]))
+            out.append(np.frombuffer(made, dtype="<u4"))
+        return out
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; all begin with their only blank."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        starts = np.flatnonzero(self.blank[ids])
+        if len(starts) != len(words):
+            return self._ids(words)
+        return [ids[i:j].tobytes() for i, j in pairwise([*starts.tolist(), len(ids)])]
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as bytes."""
+        """The ids of each word, encoded by itself."""
         made = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(made.ids, dtype="<u4")
         ends = np.searchsorted(np.array(made.word_ids, dtype=np.int64), np.arange(len(words) + 1)).tolist()
