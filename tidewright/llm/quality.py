@@ -198,7 +198,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, number = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
+        press, number = zstandard.ZstdCompressor(level=9), TaskContext.get().partitionId() << 32
         held: dict[int, list[pa.RecordBatch]] = {}
         sizes: dict[int, int] = {}
 
