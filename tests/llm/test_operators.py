@@ -252,28 +252,71 @@ def test_personal_data(spark, texts):
     assert pii.digest(pii.find(table(spark, []))).count() == 0
 
 
-def dice(a, b):
-    words = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
-    x, y = (Counter(zip(words(t), words(t)[1:])) for t in (a, b))
-    return 2 * sum((x & y).values()) / max(sum(x.values()) + sum(y.values()), 1)
+def best_window(text, form):
+    """The greatest coefficient over all windows of the words, by trying each."""
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    want = [w for w in re.split(r"[\W_]+", form.lower()) if w]
+    pairs, own = list(zip(words, words[1:])), Counter(zip(want, want[1:]))
+    size, best = sum(own.values()), 0.0
+    for i in range(len(pairs)):
+        left, shared = Counter(own), 0
+        for n, pair in enumerate(pairs[i : i + 2 * size], 1):
+            shared += left[pair] > 0
+            left[pair] -= 1
+            best = max(best, 2 * shared / (n + size))
+    return best
 
 
 def test_licences(spark, texts):
+    short = licenses.TEMPLATES["MIT"][1]
     mit = licenses.TEMPLATES["MIT"][3]
-    more = [mit, f"some words\n\n{mit}\n\nmore", "header\nLicensed under the MIT License.\nend", mit.replace("without restriction", "with no limit"), "it is licensed"]
+    words = licenses.TEMPLATES["ISC"][1].split()
+    header = "int a = 1; /*\n" + "\n".join(" * " + " ".join(words[k : k + 9]) for k in range(0, len(words), 9)) + "\n */ int main() {}"
+    more = [
+        mit,
+        f"some words\n\n{mit}\n\nmore",
+        "header\nLicensed under the MIT License.\nend",
+        f"The code of this page is {short} It has been so since its first day.",
+        header,
+        mit.replace("without restriction", "with no limit"),
+        "the the the " * 60 + short,
+        "it is licensed",
+    ]
     every = texts + more
-    got = {(r["doc_id"], r["license"], r["template"]): r["dice"] for r in licenses.scan(table(spark, every)).collect()}
+    forms = {"MIT": [short, mit, "of the people of the land of the free"], "ISC": [licenses.TEMPLATES["ISC"][1]]}
+    got = {(r["doc_id"], r["license"], r["template"]): r for r in licenses.scan(table(spark, every), forms).collect()}
     want = {}
     for i, t in enumerate(every):
-        t = t or ""
-        for u in {t, *re.split(r"\n\s*\n", t), *t.split("\n")}:
-            for name, forms in licenses.TEMPLATES.items():
-                for k, form in enumerate(forms):
-                    d = dice(u, form)
-                    if d >= 0.8:
-                        want[i, name, k] = max(d, want.get((i, name, k), 0))
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
-    assert len(got) >= 4 and licenses.scan(table(spark, [])).count() == 0
+        for name, texts_of in forms.items():
+            for k, form in enumerate(texts_of):
+                d = best_window(t or "", form)
+                if d >= 0.8:
+                    want[i, name, k] = d
+    assert got.keys() == want.keys() and all(got[k]["dice"] == pytest.approx(want[k]) for k in got)
+    at = len(texts)
+    assert {i - at for i, _, _ in got} == {0, 1, 2, 3, 4, 5, 6}
+    assert got[at + 3, "MIT", 0]["unit"] == short.rstrip(".")
+    assert got[at + 4, "ISC", 0]["dice"] == 1 and got[at + 4, "ISC", 0]["unit"].startswith("Permission to use")
+    assert licenses.scan(table(spark, [])).count() == 0
+
+
+def test_licence_templates_match_themselves():
+    made = licenses.prepare(licenses.TEMPLATES)
+    known = {pair for t in made for pair in t.bigrams}
+    for name, forms in licenses.TEMPLATES.items():
+        for k, form in enumerate(forms):
+            found = {(m[0], m[1]): m[2] for m in licenses.matches(f"so it is said {form} and so on", made, known)}
+            assert found[name, k] == 1
+
+
+def test_licence_places_in_pieces(monkeypatch):
+    form = licenses.TEMPLATES["MIT"][1]
+    made = licenses.prepare({"MIT": [form]})
+    text = "some __ words. " * 40 + "x" * 90 + " İn " + form + " more words" * 30
+    want = licenses.matches(text, made, set(made[0].bigrams))
+    for size in (1, 7, 50, 64):
+        monkeypatch.setattr(licenses, "PIECE", size)
+        assert licenses.matches(text, made, set(made[0].bigrams)) == want == [("MIT", 0, 1.0, form.rstrip("."))]
 
 
 def test_contained_items(spark, texts):
