@@ -87,6 +87,18 @@ def test_nonnegative_factors(spark):
     h = np.array([r["h"] for r in rows.orderBy("id").collect()])
     assert (w >= 0).all() and (h >= 0).all()
     assert np.linalg.norm(h @ w - x) < 0.1 * np.linalg.norm(x)
+    found = factor.errors(rows, w).first()
+    assert np.isclose(found["frobenius"], np.linalg.norm(h @ w - x)) and np.isclose(found["residual"], 100 * np.abs(h @ w - x).sum() / np.abs(x).sum())
+
+
+def test_settled_on_the_error_of_the_factors():
+    rng = np.random.default_rng(3)
+    x, h, w = rng.normal(size=(30, 5)), rng.normal(size=(30, 2)), rng.normal(size=(2, 5))
+    course = []
+    assert not factor._settled(course, w, factor._products(x, h))
+    assert np.isclose(course[0], np.linalg.norm(x - h @ w))
+    assert factor._settled(course, w, factor._products(x, h))
+    assert not factor._settled([], w, factor._products(x, h))
 
 
 def test_completion(spark):

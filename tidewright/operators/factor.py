@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 7
+#: A factorisation stops once a round changes the Frobenius error by less than this, over the number of rows.
+CHANGE = 1e-8
 #: Rows of a bucket of draws, more or less.
 BUCKET_ROWS = 10_000
 
@@ -82,6 +84,30 @@ def _start(rows: DataFrame, k: int) -> np.ndarray:
     return np.array([r["x"] for r in rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(k).select("x").collect()], dtype=float)
 
 
+def _settled(errors: list[float], w: np.ndarray, sums: tuple[np.ndarray, ...]) -> bool:
+    """Add the Frobenius error of the weights that made the sums (h'x, h'h, squares of x, rows); True if it hardly changed."""
+    top, square, norm, n = sums
+    if not n.size:
+        return True
+    errors.append(float(np.sqrt(max(norm[0, 0] - 2 * (top * w).sum() + (square * (w @ w.T)).sum(), 0.0))))
+    return len(errors) > 1 and abs(errors[-1] - errors[-2]) / n[0, 0] < CHANGE
+
+
+def _products(x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    return h.T @ x, h.T @ h, np.array([[(x * x).sum()]]), np.array([[float(len(x))]])
+
+
+def errors(rows: DataFrame, w: np.ndarray) -> DataFrame:
+    """frobenius, residual of factors (rows with x and h, small factor w): the norm of x - h w, and its absolute sum in percent of that of x."""
+    zero = F.array_repeat(F.lit(0.0), int(w.shape[1]))
+    small = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in w))
+    made = F.aggregate(F.zip_with("h", small, lambda a, row: F.transform(row, lambda v: v * a)), zero, lambda s, row: F.zip_with(s, row, lambda a, b: a + b))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    apart = rows.select("x", F.zip_with("x", made, lambda a, b: a - b).alias("e"))
+    parts = apart.select(add(F.transform("e", lambda v: v * v)).alias("square"), add(F.transform("e", F.abs)).alias("off"), add(F.transform("x", F.abs)).alias("all"))
+    return parts.agg(F.sqrt(F.sum("square")).alias("frobenius"), (100 * F.sum("off") / F.sum("all")).alias("residual"))
+
+
 def _solve_nonnegative(x: np.ndarray, w: np.ndarray, rounds: int = 50, h: np.ndarray | None = None) -> np.ndarray:
     """Non-negative h with h w close to x, by multiplicative steps."""
     h = np.full((len(x), len(w)), 0.5) if h is None else h
@@ -92,24 +118,27 @@ def _solve_nonnegative(x: np.ndarray, w: np.ndarray, rounds: int = 50, h: np.nda
 
 
 def nmf(rows: DataFrame, k: int, rounds: int = 20) -> tuple[np.ndarray, DataFrame]:
-    """Non-negative factors: the small one (k x d, unit rows) and the rows' weights ``h``."""
+    """Non-negative factors: the small one (k x d, unit rows) and the rows' weights ``h``; at most ``rounds`` rounds, fewer once the error hardly changes."""
     w = np.maximum(_start(rows, k), 1e-6)
+    course: list[float] = []
     for _ in range(rounds):
         w /= np.linalg.norm(w, axis=1, keepdims=True)
         fixed = w.copy()
 
         def step(x: np.ndarray) -> tuple[np.ndarray, ...]:
-            h = _solve_nonnegative(x, fixed)  # noqa: B023
-            return h.T @ x, h.T @ h
+            return _products(x, _solve_nonnegative(x, fixed))  # noqa: B023
 
-        top, square = _sums(rows, step, "top square")
+        sums = _sums(rows, step, "top square norm n")
+        if _settled(course, w, sums):
+            break
+        top, square = sums[:2]
         w = w * np.maximum(top, 0) / np.maximum(square @ w, 1e-12)
     w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
     return w, _map(rows, lambda x: _solve_nonnegative(x, w))
 
 
 def semi_nmf(rows: DataFrame, k: int, rounds: int = 20) -> tuple[np.ndarray, DataFrame]:
-    """A small factor of any sign, and non-negative weights of the rows."""
+    """A small factor of any sign, and non-negative weights of the rows; stops early as ``nmf`` does."""
     w = _start(rows, k)
 
     def weights(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -121,14 +150,17 @@ def semi_nmf(rows: DataFrame, k: int, rounds: int = 20) -> tuple[np.ndarray, Dat
             h *= np.sqrt((plus + h @ sminus) / np.maximum(minus + h @ splus, 1e-12))
         return h
 
+    course: list[float] = []
     for _ in range(rounds):
         fixed = w.copy()
 
         def step(x: np.ndarray) -> tuple[np.ndarray, ...]:
-            h = weights(x, fixed)  # noqa: B023
-            return h.T @ x, h.T @ h
+            return _products(x, weights(x, fixed))  # noqa: B023
 
-        top, square = _sums(rows, step, "top square")
+        sums = _sums(rows, step, "top square norm n")
+        if _settled(course, w, sums):
+            break
+        top, square = sums[:2]
         w = np.linalg.pinv(square) @ top
     return w, _map(rows, lambda x: weights(x, w))
 
@@ -152,14 +184,18 @@ def cmeans(rows: DataFrame, k: int, exponent: float = 1.75, rounds: int = 15) ->
         d = np.maximum(((x[:, None, :] - w[None]) ** 2).sum(axis=2), 1e-12) ** (-1 / (exponent - 1))
         return d / d.sum(axis=1, keepdims=True)
 
+    course: list[float] = []
     for _ in range(rounds):
         fixed = w.copy()
 
         def step(x: np.ndarray) -> tuple[np.ndarray, ...]:
-            h = membership(x, fixed) ** exponent  # noqa: B023
-            return h.T @ x, h.sum(axis=0)[:, None]
+            h = membership(x, fixed)  # noqa: B023
+            raised = h**exponent
+            return *_products(x, h), raised.T @ x, raised.sum(axis=0)[:, None]
 
-        top, weight = _sums(rows, step, "top weight")
+        *sums, top, weight = _sums(rows, step, "cross square norm n top weight")
+        if _settled(course, w, sums):
+            break
         w = top / np.maximum(weight, 1e-12)
     return w, _map(rows, lambda x: membership(x, w))
 
@@ -236,4 +272,4 @@ def assign(rows: DataFrame, centres: list[tuple[int, list[float]]], kind: str =
     return rows.withColumn("near", F.get(found, 0)).select("*", "near.centre", "near.distance").drop("near")
 
 
-__all__ = ["assign", "cmeans", "cur_columns", "distance", "farthest", "gram_svd", "kmeans", "kmeans_centres", "nmf", "pca", "pseudo_inverse", "semi_nmf"]
+__all__ = ["assign", "cmeans", "cur_columns", "distance", "errors", "farthest", "gram_svd", "kmeans", "kmeans_centres", "nmf", "pca", "pseudo_inverse", "semi_nmf"]

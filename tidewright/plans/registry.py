@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from math import pi
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -474,12 +475,12 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def nonnegative_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir).withColumn("x", F.transform("x", lambda x: F.abs(x)))
-    return factor.nmf(v, 4, 5)[1].select("id", "h")
+    return factor.nmf(v, 4)[1].select("id", "h")
 
 
 @query()
 def semi_nonnegative_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factor.semi_nmf(vectors(spark, sf_dir), 4, 5)[1].select("id", "h")
+    return factor.semi_nmf(vectors(spark, sf_dir), 4)[1].select("id", "h")
 
 
 @query()
@@ -489,10 +490,39 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factor.cmeans(vectors(spark, sf_dir), 4, rounds=5)[1].select("id", "h")
+    return factor.cmeans(vectors(spark, sf_dir), 4)[1].select("id", "h")
 
 
-@query()
+VECTORS = "v AS (SELECT vec_id AS id, cast(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL)"
+
+
+def farthest_sql(k: int) -> str:
+    """Picks one by one: each is the row farthest from all picks before it (the first: from the mean)."""
+    steps = [
+        f"WITH {VECTORS}",
+        "m AS (SELECT list(a ORDER BY i) AS x FROM (SELECT i, avg(a) AS a FROM (SELECT unnest(x) AS a, unnest(range(len(x))) AS i FROM v) GROUP BY i))",
+        "d0 AS MATERIALIZED (SELECT id, v.x, list_distance(v.x, m.x) AS d FROM v, m)",
+    ]
+    for i in range(k):
+        steps.append(f"p{i} AS MATERIALIZED (SELECT id, x FROM d{i} ORDER BY d DESC, id LIMIT 1)")
+        near = f"list_distance(d{i}.x, p{i}.x)"
+        steps.append(f"d{i + 1} AS MATERIALIZED (SELECT d{i}.id, d{i}.x, {f'least(d, {near})' if i else near} AS d FROM d{i}, p{i})")
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT cast({i} AS INTEGER) AS pick, id FROM p{i}" for i in range(k))
+
+
+@query(
+    f"WITH {VECTORS}, w AS (SELECT row_number() OVER (ORDER BY id) AS k, x FROM v ORDER BY id LIMIT 4), f AS (SELECT id, x, unnest(range(1, len(x) + 1)) AS i FROM v), "
+    "e AS (SELECT id, i, any_value(f.x[i]) AS a, sum(f.x[k] * w.x[i]) AS b FROM f, w GROUP BY id, i) "
+    "SELECT round(sqrt(sum((a - b) * (a - b))), 6) + 0.0 AS frobenius, round(100 * sum(abs(a - b)) / sum(abs(a)), 6) + 0.0 AS residual FROM e"
+)
+def factor_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error of given factors: the first four vectors, weighed by the first four numbers of each row."""
+    v = vectors(spark, sf_dir)
+    w = np.array([r["x"] for r in v.orderBy("id").limit(4).collect()])
+    return factor.errors(v.withColumn("h", F.slice("x", 1, 4)), w).select(r6("frobenius").alias("frobenius"), r6("residual").alias("residual"))
+
+
+@query(farthest_sql(6))
 def farthest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     return spark.createDataFrame(list(enumerate(factor.farthest(v, 6))), "pick int, id long")
