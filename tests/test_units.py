@@ -91,6 +91,15 @@ def test_nonnegative_factors(spark):
     assert np.isclose(found["frobenius"], np.linalg.norm(h @ w - x)) and np.isclose(found["residual"], 100 * np.abs(h @ w - x).sum() / np.abs(x).sum())
 
 
+def test_simplex_rows_are_corners(spark):
+    rng = np.random.default_rng(5)
+    corners = np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 9.0]])
+    inner = rng.dirichlet([5, 5, 5], size=40) @ corners
+    x = np.concatenate([inner[:20], corners, inner[20:], corners])
+    assert set(factor.simplex_rows(vectors(spark, x), 3)) == {20, 21, 22}
+    assert factor.simplex_rows(vectors(spark, x).limit(0), 3) == []
+
+
 def test_settled_on_the_error_of_the_factors():
     rng = np.random.default_rng(3)
     x, h, w = rng.normal(size=(30, 5)), rng.normal(size=(30, 2)), rng.normal(size=(2, 5))

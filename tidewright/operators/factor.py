@@ -13,12 +13,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 7
 #: A factorisation stops once a round changes the Frobenius error by less than this, over the number of rows.
 CHANGE = 1e-8
+#: Added to distances before their logs.
+LEAST = 1e-8
 #: Rows of a bucket of draws, more or less.
 BUCKET_ROWS = 10_000
 
@@ -217,6 +219,37 @@ def farthest(rows: DataFrame, k: int) -> list[int]:
     return picked
 
 
+def simplex_rows(rows: DataFrame, k: int, kind: str = "l2") -> list[int]:
+    """Ids of ``k`` rows that span a simplex of large volume: one pass of an aggregate a pick; ties to the smaller id.
+
+    The first is found by three jumps to the farthest row, from that of the smallest id
+    on. With D the logs of a row's distances to the l picks so far and a the log of the
+    last jump, the next pick has the greatest (S^2 - Q) / 2 + a S - l Q / 2, where S is the
+    sum of D and Q that of its squares. A table of no rows gives no picks.
+    """
+
+    def most(score: Column) -> tuple | None:
+        best = rows.agg(F.max(F.struct(score.alias("score"), (-F.col("id")).alias("order"), F.col("id"), F.col("x"))).alias("b")).first()["b"]
+        return best and (best["id"], best["x"], best["score"])
+
+    def apart(x: list[float]) -> Column:
+        return distance(F.col("x"), F.array(*(F.lit(float(v)) for v in x)), kind)
+
+    at = most(F.lit(0.0))
+    for _ in range(3):
+        at = at and most(apart(at[1]))
+    if not at:
+        return []
+    a = F.lit(float(np.log(max(at[2], LEAST))))
+    picked, total, square = [at[0]], F.lit(0.0), F.lit(0.0)
+    for n in range(1, k):
+        d = F.log(apart(at[1]) + LEAST)
+        total, square = total + d, square + d * d
+        at = most((total * total - square) / 2 + a * total - n / 2 * square)
+        picked.append(at[0])
+    return picked
+
+
 def cur_columns(rows: DataFrame, c: int, seed: int = SEED, leverage: int | None = None) -> DataFrame:
     """id, copies: exactly ``c`` draws of rows by squared norm, or by leverage on the first ``leverage`` directions; repeats are merged.
 
@@ -272,4 +305,4 @@ def assign(rows: DataFrame, centres: list[tuple[int, list[float]]], kind: str =
     return rows.withColumn("near", F.get(found, 0)).select("*", "near.centre", "near.distance").drop("near")
 
 
-__all__ = ["assign", "cmeans", "cur_columns", "distance", "errors", "farthest", "gram_svd", "kmeans", "kmeans_centres", "nmf", "pca", "pseudo_inverse", "semi_nmf"]
+__all__ = ["assign", "cmeans", "cur_columns", "distance", "errors", "farthest", "gram_svd", "kmeans", "kmeans_centres", "nmf", "pca", "pseudo_inverse", "semi_nmf", "simplex_rows"]

@@ -522,6 +522,24 @@ def factor_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor.errors(v.withColumn("h", F.slice("x", 1, 4)), w).select(r6("frobenius").alias("frobenius"), r6("residual").alias("residual"))
 
 
+def simplex_sql(k: int) -> str:
+    """Three jumps to the farthest vector, then the greatest score of the logs of distances to the picks."""
+    steps = [f"WITH {VECTORS}", "j0 AS (SELECT id, x, 0.0 AS d FROM v ORDER BY id LIMIT 1)"]
+    for i in range(1, 4):
+        steps.append(f"j{i} AS MATERIALIZED (SELECT v.id, v.x, list_distance(v.x, j{i - 1}.x) AS d FROM v, j{i - 1} ORDER BY d DESC, v.id LIMIT 1)")
+    steps += ["d0 AS (SELECT id, x, 0.0 AS s, 0.0 AS q FROM v)", "p0 AS MATERIALIZED (SELECT id, x FROM j3)"]
+    for i in range(1, k):
+        log = f"ln(list_distance(d{i - 1}.x, p{i - 1}.x) + 1e-8)"
+        steps.append(f"d{i} AS MATERIALIZED (SELECT d{i - 1}.id, d{i - 1}.x, s + {log} AS s, q + pow({log}, 2) AS q FROM d{i - 1}, p{i - 1})")
+        steps.append(f"p{i} AS MATERIALIZED (SELECT id, x FROM d{i} ORDER BY (s * s - q) / 2 + (SELECT ln(d) FROM j3) * s - {i / 2} * q DESC, id LIMIT 1)")
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT cast({i} AS INTEGER) AS pick, id FROM p{i}" for i in range(k))
+
+
+@query(simplex_sql(5))
+def simplex_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(factor.simplex_rows(vectors(spark, sf_dir), 5))), "pick int, id long")
+
+
 @query(farthest_sql(6))
 def farthest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
