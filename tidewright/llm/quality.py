@@ -126,9 +126,8 @@ def counted(docs: DataFrame, fold: Column | None = None) -> DataFrame:
 
 
 def _part(gram: Column, skip: int, length: int) -> Column:
-    """``length`` units of an n-gram that end ``skip`` units before its last."""
-    mask = (1 << (16 * length)) - 1
-    return F.shiftrightunsigned(gram, 16 * skip).bitwiseAND(F.lit(mask if length < 4 else -1))
+    """``length`` units of an n-gram that end ``skip`` units before its last; the n-gram itself if these are all."""
+    return gram if length == ORDER else F.shiftrightunsigned(gram, 16 * skip).bitwiseAND(F.lit((1 << (16 * length)) - 1))
 
 
 def _of_fold(values: dict[int, float]) -> Column:
@@ -170,7 +169,8 @@ class Model:
     def log_probability(self, wanted: DataFrame) -> DataFrame:
         """``wanted`` (fold, gram, distinct) with ``logp``, by joins with the tables of each order."""
         out = wanted
-        for k in range(1, ORDER + 1):
+        # The longest first: its join needs no other partitioning than that of the distinct n-grams, and rows are narrow when they are dealt again.
+        for k in range(ORDER, 0, -1):
             table = self.counts[k].select(F.col("fold").alias(f"f{k}"), F.col("gram").alias(f"g{k}"), F.col("n").alias(f"n{k}"))
             out = out.join(table, (_part(F.col("gram"), 0, k) == F.col(f"g{k}")) & (F.col("fold") == F.col(f"f{k}")), "left")
             if k > 1:
