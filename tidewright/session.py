@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +68,33 @@ def cut_narrow(df: DataFrame) -> tuple[DataFrame, int]:
     return written.coalesce(parts), parts
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and what is in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, bucketed by ``key`` and removed in the end.
+
+    What is grouped or joined on ``key`` with it is dealt out to its buckets, and its own rows
+    are not shuffled. There are as many buckets as a shuffle has partitions, since Spark
+    passes over fewer.
+    """
+    spark = df.sparkSession
+    name = f"rows_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}"
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    buckets = int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or usual)
+    try:
+        df.write.format("parquet").option("path", folder).bucketBy(buckets, key).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+        remove(spark, folder)
+
+
 #: Rows of whole texts in one Arrow batch.
 TEXT_ROWS = 2000
 
