@@ -7,10 +7,10 @@ tables sharded by n-gram; the probability of every n-gram that occurs in the
 corpus is found by joining them.
 
 A document is not split into its n-grams to be scored. Documents are packed into
-blocks of some MB, which are written once; a block lists its distinct n-grams once, the joins give these
-their probabilities, and the block's packed texts (the only shuffle of text,
-compressed) meet the block's own table. What moves so grows with the corpus, but
-far less than its n-grams.
+blocks of some MB, which are written once, bucketed by block; a block lists its distinct
+n-grams once, the joins give these their probabilities, and these tables are dealt
+out to the buckets of packed texts. No text is shuffled, and what moves grows with
+the corpus, but far less than its n-grams.
 
 The model learns from all trusted documents. These themselves fall into ``FOLDS``
 folds by their id and are scored by a model of the other folds; the threshold of a
@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, text_batches
+from ..session import bucketed, cut, text_batches
 from .names import fresh
 
 ORDER = 4
@@ -289,13 +289,9 @@ def _look_up(gram: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarr
 
 
 def perplexity(docs: DataFrame, model: Model, text: str = "text", fold: Column | None = None) -> DataFrame:
-    """doc_id, lang, n_tokens and perplexity of every row of ``docs``, by the model without its ``fold``."""
+    """doc_id, lang, n_tokens and perplexity of every row of ``docs`` (written), by the model without its ``fold``."""
     own = (F.lit(WHOLE) if fold is None else fold).cast("int").alias("fold")
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"), own)
-    packs = cut(_packed(rows))
-    listed = _listed(packs)
-    known = cut(model.log_probability(listed.select("fold", "gram").distinct()))
-    tables = _tables(listed.join(known, ["fold", "gram"]).select("block", "gram", "logp"))
     schema = "doc_id {}, lang string, n_tokens long, perplexity double".format(docs.schema["doc_id"].dataType.simpleString())
 
     def score(packs: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
@@ -319,8 +315,12 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text", fold: Column |
             out.append(pd.DataFrame({"doc_id": table["doc_id"].to_pandas(), "lang": table["lang"].to_pandas(), "n_tokens": n, "perplexity": np.where(n > 0, np.exp(mean), np.nan)}))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "lang": [], "n_tokens": [], "perplexity": []})
 
-    scored = packs.select("block", "data").groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(score, schema)
-    return scored.withColumn("perplexity", F.nanvl("perplexity", F.lit(None)))
+    with bucketed(_packed(rows), "block") as packs:
+        listed = _listed(packs)
+        known = cut(model.log_probability(listed.select("fold", "gram").distinct()))
+        tables = _tables(listed.join(known, ["fold", "gram"]).select("block", "gram", "logp"))
+        scored = packs.select("block", "data").groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(score, schema)
+        return cut(scored.withColumn("perplexity", F.nanvl("perplexity", F.lit(None))))
 
 
 def _fold(column: str) -> Column:
@@ -337,7 +337,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, te
     model = Model(counted(rows.where("id is not null"), _fold("id")))
     # A fold that holds all trusted documents leaves nothing to learn from.
     crossed = _fold("id").isin([f for f in model.unigrams if f != WHOLE])
-    scored = cut(perplexity(rows, model, "body", F.when(crossed, _fold("id")).otherwise(WHOLE)))
+    scored = perplexity(rows, model, "body", F.when(crossed, _fold("id")).otherwise(WHOLE))
     held = scored.join(ids.where(crossed), F.col("doc_id") == F.col("id"), "left_semi").where("perplexity is not null")
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000))
     # A row for each language that has trusted documents.
