@@ -56,6 +56,8 @@ STEP_CHARS = 500_000
 GATHERED = 100_000
 #: Count tables of at most this many rows (some tens of bytes each) are broadcast.
 BROADCAST_GRAMS = 200_000
+#: Thresholds of at most this many languages are broadcast, as one language may hold most rows.
+BROADCAST_LANGS = 10_000
 #: Ids of at most this many trusted documents are broadcast (9 bytes each).
 BROADCAST_ROWS = 1_000_000
 PAD = b"\0" * (2 * (ORDER - 1))
@@ -341,7 +343,9 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, te
     held = scored.join(ids.where(crossed), F.col("doc_id") == F.col("id"), "left_semi").where("perplexity is not null")
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000))
     # A row for each language that has trusted documents.
-    limits = held.groupBy(F.col("lang").alias("l")).agg(at.alias("limit"))
+    limits = cut(held.groupBy(F.col("lang").alias("l")).agg(at.alias("limit")))
+    if limits.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS:
+        limits = F.broadcast(limits)
     everywhere = held.agg(at.alias("limit")).first()["limit"]
     threshold = F.coalesce(F.col("limit"), F.lit(everywhere).cast("double"))
     out = scored.join(limits, F.col("lang") == F.col("l"), "left").withColumn("threshold", threshold)
