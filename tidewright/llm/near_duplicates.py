@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, cut_narrow, text_batches
+from ..session import cut, cut_narrow, released, text_batches
 from .components import components
 from .names import fresh
 from .shingles import mixed, shared, shingle_set
@@ -118,6 +118,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def sketches(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, node (64-bit hash of the set; null for the empty one), registers of every row."""
 
+    @released
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes, rows = [], [], []
@@ -135,6 +136,7 @@ def sketches(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFra
 def _bands(reps: DataFrame) -> DataFrame:
     """rep, band (a hash of the band's number and registers) of every band in use."""
 
+    @released
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -152,6 +154,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, text: str) -> DataFrame
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     chosen = docs.select("doc_id", F.col(text).cast("string").alias("body")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
+    @released
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [s for s in (shingle_set(x.as_py(), words) for x in batch["body"]) if s.size]
@@ -168,6 +171,7 @@ def _hint(df: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b (written) whose full sets are similar."""
 
+    @released
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             good = [similar(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), percent) for x, y in zip(batch["s_a"], batch["s_b"], strict=True)]
@@ -180,6 +184,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _thinned(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b (written) that their registers allow."""
 
+    @released
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -200,6 +205,7 @@ def _staying(large: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     Up to ``MISS`` the smaller buckets, where all pairs meet, do the whole work.
     """
 
+    @released
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -288,6 +294,7 @@ def _told(placed: DataFrame, degrees: DataFrame, sets: DataFrame, percent: int)
     dealt = placed.join(_hint(counts.select("main", "chunks")), "main").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
     both = dealt.join(sets, "rep").join(heads, ["main", "chunk"]).select("main", "rep", "component", "hashes", "pivot", "pivoted", "least")
 
+    @released
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []

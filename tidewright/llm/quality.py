@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bucketed, cut, text_batches
+from ..session import bucketed, cut, free_memory, released, text_batches
 from .names import fresh
 
 ORDER = 4
@@ -109,6 +109,7 @@ def _by_fold(folds: list[int], texts: list[str]) -> Iterator[tuple[int, list[str
 def counted(docs: DataFrame, fold: Column | None = None) -> DataFrame:
     """fold, gram, n: the n-grams of column ``body`` and how often they occur; with ``fold`` also without the rows of each fold."""
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             folds, texts = batch["fold"].to_pylist(), batch["body"].to_pylist()
@@ -199,6 +200,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     once these rows are written, and only then.
     """
 
+    @released
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, number = zstandard.ZstdCompressor(level=9), TaskContext.get().partitionId() << 32
         held: dict[int, list[pa.RecordBatch]] = {}
@@ -236,6 +238,7 @@ def _unpacked(data: bytes) -> pa.Table:
 def _listed(packs: DataFrame) -> DataFrame:
     """block, fold, gram: the distinct n-grams of every block."""
 
+    @released
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, f, data in zip(batch["block"].to_pylist(), batch["fold"].to_pylist(), batch["data"], strict=True):
@@ -249,6 +252,7 @@ def _listed(packs: DataFrame) -> DataFrame:
 def _tables(scored: DataFrame) -> DataFrame:
     """block, gram and logp (as bytes): each task's share of a block's table in one row."""
 
+    @released
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, held, size = zstandard.ZstdCompressor(level=1), [], 0
 
@@ -296,7 +300,7 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text", fold: Column |
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"), own)
     schema = "doc_id {}, lang string, n_tokens long, perplexity double".format(docs.schema["doc_id"].dataType.simpleString())
 
-    def score(packs: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
+    def scores(packs: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(shares):
             keys = np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(x), dtype="<i8")) for x in shares["gram"]]).view(np.uint64)
@@ -317,6 +321,11 @@ def perplexity(docs: DataFrame, model: Model, text: str = "text", fold: Column |
             out.append(pd.DataFrame({"doc_id": table["doc_id"].to_pandas(), "lang": table["lang"].to_pandas(), "n_tokens": n, "perplexity": np.where(n > 0, np.exp(mean), np.nan)}))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "lang": [], "n_tokens": [], "perplexity": []})
 
+    def score(packs: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
+        made = scores(packs, shares)
+        free_memory()
+        return made
+
     with bucketed(_packed(rows), "block") as packs:
         listed = _listed(packs)
         known = cut(model.log_probability(listed.select("fold", "gram").distinct()))

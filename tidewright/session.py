@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -95,15 +98,44 @@ def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
         remove(spark, folder)
 
 
-#: Rows of whole texts in one Arrow batch.
-TEXT_ROWS = 2000
+#: Rows of whole texts in one Arrow batch, and bytes after which a batch ends sooner.
+TEXT_ROWS, BATCH_BYTES = 2000, 8_000_000
 
 
 def text_batches(df: DataFrame) -> None:
-    """Limit the session's Arrow batches to ``TEXT_ROWS`` rows, as texts are wide and a batch is held on both sides; a lower limit stays.
+    """Limit the session's Arrow batches to ``TEXT_ROWS`` rows and ``BATCH_BYTES``, as texts are wide and a batch is held on both sides; lower limits stay.
 
-    The limit is read when a query runs, which is after an operator has returned it, so it stays set.
+    The limits are read when a query runs, which is after an operator has returned it, so they stay set.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
-        conf.set(key, str(TEXT_ROWS))
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        # A limit in another unit is the caller's choice.
+        now = conf.get(key)
+        if (number := now.removesuffix("b")).lstrip("-").isdigit() and not 0 < int(number) <= most:
+            conf.set(key, str(most))
+
+
+def free_memory() -> None:
+    """Give memory that this process no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(task: Callable) -> Callable:
+    """``task``, a function of a task's batches, and ``free_memory`` when it ends.
+
+    A worker waits for other tasks for up to a minute, beside whatever its executor runs
+    then, and would hold the most that a task of its has taken for as long.
+    """
+
+    @wraps(task)
+    def rows(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            free_memory()
+
+    return rows
