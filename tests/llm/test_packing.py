@@ -26,6 +26,14 @@ def test_ids_of_any_text(tokenizer, monkeypatch):
         assert [x.tolist() for x in encoder.encode(texts[k : k + 500])] == want[k : k + 500]
 
 
+def test_words_are_kept_once_in_a_worker(tokenizer):
+    encoder = packing._encoder(packing.default_vocabulary())
+    assert packing._encoder(packing.default_vocabulary()) is encoder
+    texts = ["so zyzzog, zyzzog. (zyzzog) zyzzog<|endoftext|> zyzzog<| it's zyzzog's; zyzzog"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [tokenizer.encode(texts[0], add_special_tokens=False).ids]
+    assert "zyzzog" in encoder.known and not {"zyzzog,", "zyzzog."} & encoder.known.keys()
+
+
 def test_very_long_texts(spark, tokenizer):
     rng = random.Random(4)
     texts = [" " * 1_200_000, "\t" * 1_200_000, "\n" * 1_200_000, "x" * 5_000_000, prose(rng, 400_000), " \n" * 300_000]

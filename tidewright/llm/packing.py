@@ -23,9 +23,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from functools import lru_cache
+from itertools import pairwise
 from math import isqrt
 
 import numpy as np
@@ -35,15 +35,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ..session import cut, text_batches
+from ..session import cut, released, text_batches
 
 CAPACITY = 1024
 CLOSING_ID = 2
 BUCKET_ROWS = 2000
 #: Bytes of text whose ids are in memory at a time (a longer text by itself).
-TEXT_BYTES = 500_000
-#: Words whose ids a task keeps (as many again from before), and characters of the longest one kept.
+TEXT_BYTES = 2_000_000
+#: Words whose ids a worker keeps (as many again from before), and characters of the longest one kept.
 KEPT_WORDS, LONG_WORD = 300_000, 64
+#: Words that are encoded in one call.
+JOINED = 150
 
 
 def default_vocabulary() -> str:
@@ -58,11 +60,16 @@ class Encoder:
 
     The byte-level tokeniser always parts a text before a blank between two other
     characters, so what lies between such places has the same ids wherever it
-    stands. Words not met before are encoded in one call, set one after the other
-    with their blanks; the tokens that begin with a blank tell where each starts.
+    stands; it also parts a letter from punctuation after it, so a word is kept once,
+    whatever follows it. A batch is coded by its different words; those not met before
+    are encoded in one call, set one after the other with their blanks (the tokens
+    that begin with a blank tell where each starts), and the ids of the texts are
+    gathered from theirs.
     """
 
     PLACE = re.compile(r"(?<=\S)(?=\x20\S)")
+    #: ASCII punctuation but the apostrophe, which may begin a token with letters.
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -71,36 +78,87 @@ class Encoder:
         self.blank = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         # \u0120 is how the vocabulary writes a blank.
         self.blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of every text."""
-        parts = [t.split(" ") for t in texts]
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, " ")
+        sizes = pc.list_value_length(lists).to_numpy()
+        first = np.cumsum(sizes) - sizes
+        coded = lists.flatten().dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        later = np.ones(len(code), dtype=bool)
+        later[first] = False
+        made, odd = self._words(words, np.bincount(code[later], minlength=len(words)) > 0)
+        # A blank beside other white space is no place to part a text: such a text is encoded by itself.
+        heads = [words[k] for k in code[first].tolist()]
+        whole = np.array([not p or p[-1].isspace() for p in heads])
+        if odd.any():
+            whole |= np.logical_or.reduceat(odd[code] & later, first)
+        made += self._ids(heads)
+        for k in np.flatnonzero(whole).tolist():
+            text = texts[k] if isinstance(texts, list) else texts[k].as_py()
+            made[len(words) + k] = b"".join(self._ids(self.PLACE.split(text)))
+        n = np.fromiter(map(len, made), dtype=np.int32, count=len(made)) // 4
+        start = np.cumsum(n, dtype=np.int32) - n
+        code = code.copy()
+        code[first] = len(words) + np.arange(len(first))
+        start, n = start[code], n[code]
+        n[later & np.repeat(whole, sizes)] = 0
+        ends = np.cumsum(n, dtype=np.int32)
+        ids = np.frombuffer(b"".join(made), dtype="<u4")[np.repeat(start - ends + n, n) + np.arange(ends[-1], dtype=np.int32)]
+        return np.split(ids, ends[first + sizes - 1][:-1])
+
+    def _words(self, words: list[str], used: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The ids of each of the ``used`` words after a blank, and which of them have other white space at an end."""
         if len(self.known) > KEPT_WORDS:
             self.known, self.older = {}, self.known
-        new = set(chain.from_iterable(p[1:] for p in parts)) - self.known.keys()
-        # A blank beside other white space is no place to part a text.
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        whole = [k for k, p in enumerate(parts) if not p[0] or p[0][-1].isspace() or (odd and not odd.isdisjoint(p))]
-        unseen, long = [], {}
-        for word in new - odd:
-            if word in self.older:
-                self.known[word] = self.older[word]
-            elif len(word) > LONG_WORD:
-                long[word] = self._ids([" " + word])[0]
+        made, odd = [self.known.get(w, b"") for w in words], np.zeros(len(words), dtype=bool)
+        unseen, parted = {}, []
+        for k in [k for k, (ids, met) in enumerate(zip(made, used.tolist(), strict=True)) if met and not ids]:
+            word = words[k]
+            core = word.rstrip(self.MARKS)
+            # Letters beyond these may not be letters to the tokeniser's tables.
+            if len(core) < len(word) and core and core[-1] < "\u0250" and core[-1].isalpha() and not any(t in word for t in self.added):
+                ids = self.known.get(core)
             else:
-                unseen.append(word)
-        for k in range(0, len(unseen), 2000):
-            some = unseen[k : k + 2000]
-            self.known.update(zip(some, self._joined([" " + w for w in some]), strict=True))
-        known = ChainMap(long, self.known) if long else self.known
-        firsts = self._ids([p[0] for p in parts])
-        skip, out = set(whole), []
-        for k, p in enumerate(parts):
-            made = b"".join(self._ids(self.PLACE.split(texts[k]))) if k in skip else firsts[k] + b"".join(map(known.__getitem__, p[1:]))
-            out.append(np.frombuffer(made, dtype="<u4"))
-        return out
+                core, ids = word, None
+            if ids is None:
+                if not core or core[0].isspace() or core[-1].isspace():
+                    odd[k] = True
+                    continue
+                ids = self.older.get(core)
+                if ids is None:
+                    unseen[core] = b""
+                else:
+                    self.known[core] = ids
+            if ids is None or core is not word:
+                parted.append((k, core, word[len(core) :], ids))
+            else:
+                made[k] = ids
+        short = [w for w in unseen if len(w) <= LONG_WORD]
+        for k in range(0, len(short), JOINED):
+            some = short[k : k + JOINED]
+            unseen.update(zip(some, self._joined([" " + w for w in some]), strict=True))
+        self.known.update((w, unseen[w]) for w in short)
+        unseen.update((w, self._ids([" " + w])[0]) for w in unseen if len(w) > LONG_WORD)
+        for k, core, marks, ids in parted:
+            made[k] = (unseen[core] if ids is None else ids) + (self._marks(marks) if marks else b"")
+        return made, odd
+
+    def _marks(self, marks: str) -> bytes:
+        """The ids of punctuation that follows a letter."""
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self._ids([marks])[0]
+            if len(marks) <= LONG_WORD and len(self.marks) < KEPT_WORDS // 10:
+                self.marks[marks] = ids
+        return ids
 
     def _joined(self, words: list[str]) -> list[bytes]:
         """The ids of each word; all begin with their only blank."""
@@ -108,14 +166,22 @@ class Encoder:
         starts = np.flatnonzero(self.blank[ids])
         if len(starts) != len(words):
             return self._ids(words)
-        return [ids[i:j].tobytes() for i, j in pairwise([*starts.tolist(), len(ids)])]
+        data = ids.tobytes()
+        return [data[i:j] for i, j in pairwise([*(4 * starts).tolist(), len(data)])]
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word, encoded by itself."""
         made = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(made.ids, dtype="<u4")
         ends = np.searchsorted(np.array(made.word_ids, dtype=np.int64), np.arange(len(words) + 1)).tolist()
-        return [ids[i:j].tobytes() for i, j in pairwise(ends)]
+        data = ids.tobytes()
+        return [data[4 * i : 4 * j] for i, j in pairwise(ends)]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """The encoder of a worker, which its tasks share."""
+    return Encoder(path)
 
 
 def _some(bodies: pa.Array) -> Iterator[tuple[int, int]]:
@@ -133,14 +199,12 @@ def _some(bodies: pa.Array) -> Iterator[tuple[int, int]]:
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, text: str = "text") -> DataFrame:
     """Every document's token ids, cut: doc_id, piece, start, length, ids_crc32 (and ids)."""
     path = vocabulary or default_vocabulary()
-    kept: list[Encoder] = []
 
+    @released
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not kept:
-            kept.append(Encoder(path))
         for batch in (b.slice(i, j - i) for b in batches for i, j in _some(b["body"])):
             rows: list[tuple] = []
-            encoded = kept[0].encode(batch["body"].to_pylist())
+            encoded = _encoder(path).encode(batch["body"])
             for doc_id, own in zip(batch["doc_id"].to_pylist(), encoded, strict=True):
                 ids = np.append(own, np.array([CLOSING_ID], dtype="<u4"))
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
