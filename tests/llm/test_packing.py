@@ -1,8 +1,11 @@
 """Token ids of odd and very long texts, and bins against a plain best-two-fit."""
 
+import gc
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from test_operators import prose, table
 from tokenizers import Tokenizer
@@ -34,6 +37,23 @@ def test_words_are_kept_once_in_a_worker(tokenizer):
     assert "zyzzog" in encoder.known and not {"zyzzog,", "zyzzog."} & encoder.known.keys()
 
 
+def test_kept_words_take_little_memory(tokenizer):
+    encoder = packing.Encoder(packing.default_vocabulary())
+    texts = [" ".join(f"w{i:x}" for i in range(k, k + 1000)) for k in range(0, 40_000, 1000)]
+    encoder.encode(["a"])
+    tracemalloc.start()
+    try:
+        held = -pa.total_allocated_bytes()
+        for text in texts:
+            encoder.encode([text])
+        gc.collect()
+        held += tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    finally:
+        tracemalloc.stop()
+    assert len(encoder.known) > 39_000 and held < 60 * len(encoder.known)
+    assert encoder.encode(texts[-1:])[0].tolist() == tokenizer.encode(texts[-1], add_special_tokens=False).ids
+
+
 def test_very_long_texts(spark, tokenizer):
     rng = random.Random(4)
     texts = [" " * 1_200_000, "\t" * 1_200_000, "\n" * 1_200_000, "x" * 5_000_000, prose(rng, 400_000), " \n" * 300_000]

@@ -23,7 +23,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 from itertools import pairwise
 from math import isqrt
@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ..session import cut, released, text_batches
+from ..session import cut, free_memory, released, text_batches
 
 CAPACITY = 1024
 CLOSING_ID = 2
 BUCKET_ROWS = 2000
 #: Bytes of text whose ids are in memory at a time (a longer text by itself).
 TEXT_BYTES = 2_000_000
-#: Words whose ids a worker keeps (as many again from before), and characters of the longest one kept.
+#: Words whose ids a worker keeps (as many again from before), some tens of bytes each, and characters of the longest one kept.
 KEPT_WORDS, LONG_WORD = 300_000, 64
 #: Words that are encoded in one call.
 JOINED = 150
@@ -55,6 +55,39 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Kept(Mapping):
+    """Words and the bytes of their ids, in a few arrays: a Python object for each takes several times the memory, and leaves gaps where it is freed."""
+
+    def __init__(self) -> None:
+        self.words, self.ends, self.ids = pa.array([], pa.string()), np.zeros(1, dtype=np.int64), b""
+
+    def __getitem__(self, word: str) -> bytes:
+        if found := self.find([word])[0]:
+            return found
+        raise KeyError(word)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.words.to_pylist())
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, words: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each word; nothing for one that is not kept."""
+        if not len(words) or not len(self):
+            return [b""] * len(words)
+        at = pc.index_in(pa.array(words, pa.string()) if isinstance(words, list) else words, value_set=self.words).fill_null(len(self)).to_numpy()
+        ends = np.append(self.ends, self.ends[-1])
+        return [self.ids[i:j] for i, j in zip(ends[at].tolist(), ends[at + 1].tolist(), strict=True)]
+
+    def add(self, ids: dict[str, bytes]) -> None:
+        """Keep words that are not kept so far."""
+        if ids:
+            self.words = pa.concat_arrays([self.words, pa.array(list(ids), pa.string())])
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(list(map(len, ids.values()))))
+            self.ids += b"".join(ids.values())
+
+
 class Encoder:
     """Token ids by ``tokenizers``, with the ids of words kept.
 
@@ -79,8 +112,7 @@ class Encoder:
         # \u0120 is how the vocabulary writes a blank.
         self.blank[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.older = Kept(), Kept()
         self.marks: dict[str, bytes] = {}
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
@@ -91,12 +123,12 @@ class Encoder:
         sizes = pc.list_value_length(lists).to_numpy()
         first = np.cumsum(sizes) - sizes
         coded = lists.flatten().dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, code = coded.dictionary, coded.indices.to_numpy()
         later = np.ones(len(code), dtype=bool)
         later[first] = False
         made, odd = self._words(words, np.bincount(code[later], minlength=len(words)) > 0)
         # A blank beside other white space is no place to part a text: such a text is encoded by itself.
-        heads = [words[k] for k in code[first].tolist()]
+        heads = words.take(pa.array(code[first])).to_pylist()
         whole = np.array([not p or p[-1].isspace() for p in heads])
         if odd.any():
             whole |= np.logical_or.reduceat(odd[code] & later, first)
@@ -114,42 +146,41 @@ class Encoder:
         ids = np.frombuffer(b"".join(made), dtype="<u4")[np.repeat(start - ends + n, n) + np.arange(ends[-1], dtype=np.int32)]
         return np.split(ids, ends[first + sizes - 1][:-1])
 
-    def _words(self, words: list[str], used: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    def _words(self, words: pa.Array, used: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """The ids of each of the ``used`` words after a blank, and which of them have other white space at an end."""
         if len(self.known) > KEPT_WORDS:
-            self.known, self.older = {}, self.known
-        made, odd = [self.known.get(w, b"") for w in words], np.zeros(len(words), dtype=bool)
-        unseen, parted = {}, []
-        for k in [k for k, (ids, met) in enumerate(zip(made, used.tolist(), strict=True)) if met and not ids]:
-            word = words[k]
+            self.known, self.older = Kept(), self.known
+        made, odd = self.known.find(words), np.zeros(len(words), dtype=bool)
+        places = np.flatnonzero(used & ~np.fromiter(map(bool, made), dtype=bool, count=len(made)))
+        parted = []
+        for k, word in zip(places.tolist(), words.take(pa.array(places)).to_pylist(), strict=True):
             core = word.rstrip(self.MARKS)
             # Letters beyond these may not be letters to the tokeniser's tables.
-            if len(core) < len(word) and core and core[-1] < "\u0250" and core[-1].isalpha() and not any(t in word for t in self.added):
-                ids = self.known.get(core)
-            else:
-                core, ids = word, None
-            if ids is None:
-                if not core or core[0].isspace() or core[-1].isspace():
-                    odd[k] = True
-                    continue
-                ids = self.older.get(core)
-                if ids is None:
-                    unseen[core] = b""
-                else:
-                    self.known[core] = ids
-            if ids is None or core is not word:
-                parted.append((k, core, word[len(core) :], ids))
+            if not (len(core) < len(word) and core and core[-1] < "\u0250" and core[-1].isalpha()) or any(t in word for t in self.added):
+                core = word
+            if not core or core[0].isspace() or core[-1].isspace():
+                odd[k] = True
             else:
-                made[k] = ids
+                parted.append((k, core, word[len(core) :]))
+        ids = self._cores(list(dict.fromkeys(core for _, core, _ in parted)))
+        for k, core, marks in parted:
+            made[k] = ids[core] + (self._marks(marks) if marks else b"")
+        return made, odd
+
+    def _cores(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of different words after a blank; those that were not known are from now on, but for very long ones."""
+        found = dict(zip(words, self.known.find(words), strict=True))
+        unseen = [w for w, ids in found.items() if not ids]
+        met = {w: ids for w, ids in zip(unseen, self.older.find(unseen), strict=True) if ids}
+        unseen = [w for w in unseen if w not in met]
         short = [w for w in unseen if len(w) <= LONG_WORD]
         for k in range(0, len(short), JOINED):
             some = short[k : k + JOINED]
-            unseen.update(zip(some, self._joined([" " + w for w in some]), strict=True))
-        self.known.update((w, unseen[w]) for w in short)
-        unseen.update((w, self._ids([" " + w])[0]) for w in unseen if len(w) > LONG_WORD)
-        for k, core, marks, ids in parted:
-            made[k] = (unseen[core] if ids is None else ids) + (self._marks(marks) if marks else b"")
-        return made, odd
+            met.update(zip(some, self._joined([" " + w for w in some]), strict=True))
+        self.known.add(met)
+        found.update(met)
+        found.update((w, self._ids([" " + w])[0]) for w in unseen if len(w) > LONG_WORD)
+        return found
 
     def _marks(self, marks: str) -> bytes:
         """The ids of punctuation that follows a letter."""
@@ -214,6 +245,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             types = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            del encoded, rows, cols
+            free_memory()  # what these texts took would stay beside what the next ones take
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
