@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import WORDS, near_groups, prose, table
 
-from tidewright.llm import near_duplicates
+from tidewright.llm import near_duplicates, shingles
 
 
 def edited(rng, words, most, fresh=10_000):
@@ -70,3 +70,14 @@ def test_joins_grow_with_the_rows(spark):
         docs = table(spark, group(rng, n) + group(rng, n))
         rows.append(joined_rows(spark, lambda: near_duplicates.near_duplicates(docs).agg(F.count("kept")).collect()))  # noqa: B023
     assert 0 < rows[1] < 2.6 * rows[0], rows
+
+
+def test_workers_drop_the_hashes_of_words(spark):
+    docs = table(spark, [prose(random.Random(k), 50) for k in range(40)]).repartition(8)
+    assert near_duplicates.sketches(docs).where("n_shingles > 0").count() == 40
+
+    def held(batches):
+        for batch in batches:
+            yield batch.assign(id=len(shingles._HASHES))
+
+    assert {r["id"] for r in spark.range(0, 16, 1, 16).mapInPandas(held, "id long").collect()} == {0}

@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from ..session import cut, cut_narrow, released, text_batches
 from .components import components
 from .names import fresh
-from .shingles import mixed, shared, shingle_set
+from .shingles import forgetting, mixed, shared, shingle_set
 
 WORDS = 5
 PERCENT = 80
@@ -119,6 +119,7 @@ def sketches(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFra
     """doc_id, n_shingles, node (64-bit hash of the set; null for the empty one), registers of every row."""
 
     @released
+    @forgetting
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes, rows = [], [], []
@@ -155,6 +156,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, text: str) -> DataFrame
     chosen = docs.select("doc_id", F.col(text).cast("string").alias("body")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     @released
+    @forgetting
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [s for s in (shingle_set(x.as_py(), words) for x in batch["body"]) if s.size]

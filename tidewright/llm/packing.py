@@ -123,6 +123,7 @@ class Encoder:
         sizes = pc.list_value_length(lists).to_numpy()
         first = np.cumsum(sizes) - sizes
         coded = lists.flatten().dictionary_encode()
+        del lists
         words, code = coded.dictionary, coded.indices.to_numpy()
         later = np.ones(len(code), dtype=bool)
         later[first] = False
@@ -240,7 +241,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                 ids = np.append(own, np.array([CLOSING_ID], dtype="<u4"))
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(pairwise(cuts)):
-                    rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].astype("int32")] if with_ids else [])))
+                    rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].view("<i4")] if with_ids else [])))
             cols = list(zip(*rows, strict=True)) or [()] * (5 + with_ids)
             types = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import xxhash
@@ -26,6 +28,24 @@ class _WordHash(dict):
 _HASHES = _WordHash()
 
 
+def forget() -> None:
+    """Drop the hashes of words (a function of this module, as workers get a copy of what a task's own function refers to)."""
+    _HASHES.clear()
+
+
+def forgetting(task: Callable) -> Callable:
+    """``task``, a function of a task's batches, after which the hashes of words are dropped: a worker goes on to tasks that have no use for them."""
+
+    @wraps(task)
+    def rows(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            forget()
+
+    return rows
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
