@@ -1,5 +1,6 @@
 """Token ids of odd and very long texts, and bins against a plain best-two-fit."""
 
+import cProfile
 import gc
 import random
 import tracemalloc
@@ -54,6 +55,16 @@ def test_kept_words_take_little_memory(tokenizer):
     assert encoder.encode(texts[-1:])[0].tolist() == tokenizer.encode(texts[-1], add_special_tokens=False).ids
 
 
+def test_known_words_take_no_python_calls(tokenizer):
+    encoder = packing.Encoder(packing.default_vocabulary())
+    text = " ".join(f"w{i:x}a," for i in range(20_000))
+    encoder.encode([text])
+    profile = cProfile.Profile()
+    ids = profile.runcall(encoder.encode, [text])
+    assert ids[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum(e.callcount for e in profile.getstats()) < 5000
+
+
 def test_very_long_texts(spark, tokenizer):
     rng = random.Random(4)
     texts = [" " * 1_200_000, "\t" * 1_200_000, "\n" * 1_200_000, "x" * 5_000_000, prose(rng, 400_000), " \n" * 300_000]

@@ -55,16 +55,32 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _rows(ids: np.ndarray, counts: np.ndarray) -> pa.LargeBinaryArray:
+    """Ids that lie one after the other, as rows of ``counts`` ids each."""
+    ends = np.append(0, 4 * np.cumsum(counts, dtype=np.int64))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+
+
+def _values(rows: pa.LargeBinaryArray) -> np.ndarray:
+    """The ids of all rows."""
+    return np.frombuffer(rows.buffers()[2] or b"", dtype="<u4")
+
+
+#: A row of no ids.
+NOTHING = pa.array([b""], pa.large_binary())
+
+
 class Kept(Mapping):
     """Words and the bytes of their ids, in a few arrays: a Python object for each takes several times the memory, and leaves gaps where it is freed."""
 
     def __init__(self) -> None:
-        self.words, self.ends, self.ids = pa.array([], pa.string()), np.zeros(1, dtype=np.int64), b""
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
 
     def __getitem__(self, word: str) -> bytes:
-        if found := self.find([word])[0]:
-            return found
-        raise KeyError(word)
+        at = int(self.find(pa.array([word]))[0])
+        if at < 0:
+            raise KeyError(word)
+        return self.ids[at].as_py()
 
     def __iter__(self) -> Iterator[str]:
         return iter(self.words.to_pylist())
@@ -72,20 +88,18 @@ class Kept(Mapping):
     def __len__(self) -> int:
         return len(self.words)
 
-    def find(self, words: list[str] | pa.Array) -> list[bytes]:
-        """The ids of each word; nothing for one that is not kept."""
-        if not len(words) or not len(self):
-            return [b""] * len(words)
-        at = pc.index_in(pa.array(words, pa.string()) if isinstance(words, list) else words, value_set=self.words).fill_null(len(self)).to_numpy()
-        ends = np.append(self.ends, self.ends[-1])
-        return [self.ids[i:j] for i, j in zip(ends[at].tolist(), ends[at + 1].tolist(), strict=True)]
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The places of different words; -1 for one that is not kept."""
+        # The kept words are looked up among the others, which are fewer: a table of them is made faster.
+        at = pc.index_in(self.words, value_set=words).fill_null(-1).to_numpy()
+        here = np.flatnonzero(at >= 0)
+        found = np.full(len(words), -1, dtype=np.int64)
+        found[at[here]] = here
+        return found
 
-    def add(self, ids: dict[str, bytes]) -> None:
+    def add(self, words: pa.Array, ids: pa.LargeBinaryArray) -> None:
         """Keep words that are not kept so far."""
-        if ids:
-            self.words = pa.concat_arrays([self.words, pa.array(list(ids), pa.string())])
-            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(list(map(len, ids.values()))))
-            self.ids += b"".join(ids.values())
+        self.words, self.ids = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.ids, ids])
 
 
 class Encoder:
@@ -103,6 +117,8 @@ class Encoder:
     PLACE = re.compile(r"(?<=\S)(?=\x20\S)")
     #: ASCII punctuation but the apostrophe, which may begin a token with letters.
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Letters beyond these may not be letters to the tokeniser's tables.
+    LETTERS = pa.array([c for c in map(chr, range(0x250)) if c.isalpha()])
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -124,90 +140,94 @@ class Encoder:
         first = np.cumsum(sizes) - sizes
         coded = lists.flatten().dictionary_encode()
         del lists
-        words, code = coded.dictionary, coded.indices.to_numpy()
+        words, code = coded.dictionary.cast(pa.string()), coded.indices.to_numpy()
         later = np.ones(len(code), dtype=bool)
         later[first] = False
-        made, odd = self._words(words, np.bincount(code[later], minlength=len(words)) > 0)
+        used = np.flatnonzero(np.bincount(code[later], minlength=len(words)))
+        made, odd = self._words(words.take(pa.array(used)))
         # A blank beside other white space is no place to part a text: such a text is encoded by itself.
         heads = words.take(pa.array(code[first])).to_pylist()
         whole = np.array([not p or p[-1].isspace() for p in heads])
+        place = np.zeros(len(words), dtype=np.int32)
         if odd.any():
-            whole |= np.logical_or.reduceat(odd[code] & later, first)
-        made += self._ids(heads)
-        for k in np.flatnonzero(whole).tolist():
-            text = texts[k] if isinstance(texts, list) else texts[k].as_py()
-            made[len(words) + k] = b"".join(self._ids(self.PLACE.split(text)))
-        n = np.fromiter(map(len, made), dtype=np.int32, count=len(made)) // 4
-        start = np.cumsum(n, dtype=np.int32) - n
-        code = code.copy()
-        code[first] = len(words) + np.arange(len(first))
-        start, n = start[code], n[code]
-        n[later & np.repeat(whole, sizes)] = 0
-        ends = np.cumsum(n, dtype=np.int32)
-        ids = np.frombuffer(b"".join(made), dtype="<u4")[np.repeat(start - ends + n, n) + np.arange(ends[-1], dtype=np.int32)]
-        return np.split(ids, ends[first + sizes - 1][:-1])
-
-    def _words(self, words: pa.Array, used: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """The ids of each of the ``used`` words after a blank, and which of them have other white space at an end."""
+            place[used[odd]] = 1
+            whole |= np.logical_or.reduceat((place[code] > 0) & later, first)
+        place[used] = np.arange(len(used))
+        code = place[code]
+        code[first] = len(used) + np.arange(len(first))
+        parts = [made, self._ids(heads)]
+        if whole.any():
+            alone = np.flatnonzero(whole)
+            for k in alone.tolist():
+                text = texts[k] if isinstance(texts, list) else texts[k].as_py()
+                ids = _values(self._ids(self.PLACE.split(text)))
+                parts.append(_rows(ids, np.array([len(ids)])))
+            code[first[alone]] = len(used) + len(first) + np.arange(len(alone))
+            # Nothing is left for the other words of such a text.
+            code[later & np.repeat(whole, sizes)] = len(used) + len(first) + len(alone)
+        rows = pa.concat_arrays([*parts, NOTHING]).take(pa.array(code))
+        ends = np.frombuffer(rows.buffers()[1], dtype=np.int64, count=len(rows) + 1) // 4
+        return np.split(_values(rows), ends[first[1:]])
+
+    def _words(self, words: pa.Array) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The ids of different words after a blank; and which are empty or have other white space at an end, so that there is no place before or after them."""
+        sizes = pc.binary_length(words).to_numpy()
+        odd = (sizes == 0) | (pc.binary_length(pc.utf8_trim_whitespace(words)).to_numpy() < sizes)
+        cores = pc.ascii_rtrim(words, characters=self.MARKS)
+        parted = ~odd & (pc.binary_length(cores).to_numpy() < sizes)
+        parted &= pc.is_in(pc.utf8_slice_codeunits(cores, -1), value_set=self.LETTERS).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            parted &= ~pc.match_substring(words, token).to_numpy(zero_copy_only=False)
+        cores = pc.if_else(pa.array(parted), cores, pc.if_else(pa.array(odd), "", words))
+        coded = cores.dictionary_encode()
+        made = self._cores(coded.dictionary).take(coded.indices)
+        at = pa.array(np.flatnonzero(parted))
+        marks = [w[k:] for w, k in zip(words.take(at).to_pylist(), pc.utf8_length(cores.take(at)).to_pylist(), strict=True)]
+        coded = pa.array(marks, pa.string()).dictionary_encode()
+        place = np.zeros(len(words), dtype=np.int32)
+        place[parted] = 1 + coded.indices.to_numpy()
+        after = pa.array([b"", *map(self._marks, coded.dictionary.to_pylist())], pa.large_binary()).take(pa.array(place))
+        return pc.binary_join_element_wise(made, after, pa.scalar(b"", pa.large_binary())), odd
+
+    def _cores(self, words: pa.Array) -> pa.LargeBinaryArray:
+        """The ids of different words after a blank (none of an empty one); those that were not known are from now on, but for very long ones."""
         if len(self.known) > KEPT_WORDS:
             self.known, self.older = Kept(), self.known
-        made, odd = self.known.find(words), np.zeros(len(words), dtype=bool)
-        places = np.flatnonzero(used & ~np.fromiter(map(bool, made), dtype=bool, count=len(made)))
-        parted = []
-        for k, word in zip(places.tolist(), words.take(pa.array(places)).to_pylist(), strict=True):
-            core = word.rstrip(self.MARKS)
-            # Letters beyond these may not be letters to the tokeniser's tables.
-            if not (len(core) < len(word) and core and core[-1] < "\u0250" and core[-1].isalpha()) or any(t in word for t in self.added):
-                core = word
-            if not core or core[0].isspace() or core[-1].isspace():
-                odd[k] = True
-            else:
-                parted.append((k, core, word[len(core) :]))
-        ids = self._cores(list(dict.fromkeys(core for _, core, _ in parted)))
-        for k, core, marks in parted:
-            made[k] = ids[core] + (self._marks(marks) if marks else b"")
-        return made, odd
-
-    def _cores(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of different words after a blank; those that were not known are from now on, but for very long ones."""
-        found = dict(zip(words, self.known.find(words), strict=True))
-        unseen = [w for w, ids in found.items() if not ids]
-        met = {w: ids for w, ids in zip(unseen, self.older.find(unseen), strict=True) if ids}
-        unseen = [w for w in unseen if w not in met]
-        short = [w for w in unseen if len(w) <= LONG_WORD]
-        for k in range(0, len(short), JOINED):
-            some = short[k : k + JOINED]
-            met.update(zip(some, self._joined([" " + w for w in some]), strict=True))
-        self.known.add(met)
-        found.update(met)
-        found.update((w, self._ids([" " + w])[0]) for w in unseen if len(w) > LONG_WORD)
-        return found
+        at, lengths = self.known.find(words), pc.utf8_length(words).to_numpy()
+        new = np.flatnonzero((at < 0) & (lengths > 0) & (lengths <= LONG_WORD))
+        met = self.older.find(words.take(pa.array(new)))
+        old, new, met = new[met >= 0], new[met < 0], met[met >= 0]
+        for k, ids in ((old, self.older.ids.take(pa.array(met))), (new, self._joined(words.take(pa.array(new)).to_pylist()))):
+            at[k] = len(self.known) + np.arange(len(k))
+            self.known.add(words.take(pa.array(k)), ids)
+        long = np.flatnonzero(lengths > LONG_WORD)
+        at[long] = len(self.known) + np.arange(len(long))
+        at[lengths == 0] = len(self.known) + len(long)
+        return pa.concat_arrays([self.known.ids, *(self._ids([" " + words[k].as_py()]) for k in long.tolist()), NOTHING]).take(pa.array(at))
 
     def _marks(self, marks: str) -> bytes:
         """The ids of punctuation that follows a letter."""
         ids = self.marks.get(marks)
         if ids is None:
-            ids = self._ids([marks])[0]
+            ids = _values(self._ids([marks])).tobytes()
             if len(marks) <= LONG_WORD and len(self.marks) < KEPT_WORDS // 10:
                 self.marks[marks] = ids
         return ids
 
-    def _joined(self, words: list[str]) -> list[bytes]:
-        """The ids of each word; all begin with their only blank."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        starts = np.flatnonzero(self.blank[ids])
-        if len(starts) != len(words):
-            return self._ids(words)
-        data = ids.tobytes()
-        return [data[i:j] for i, j in pairwise([*(4 * starts).tolist(), len(data)])]
-
-    def _ids(self, words: list[str]) -> list[bytes]:
+    def _joined(self, words: list[str]) -> pa.LargeBinaryArray:
+        """The ids of different words after a blank, which are their only one."""
+        parts = [NOTHING[:0]]
+        for k in range(0, len(words), JOINED):
+            some = [" " + w for w in words[k : k + JOINED]]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            starts = np.flatnonzero(self.blank[ids])
+            parts.append(_rows(ids, np.diff(starts, append=len(ids))) if len(starts) == len(some) else self._ids(some))
+        return pa.concat_arrays(parts)
+
+    def _ids(self, words: list[str]) -> pa.LargeBinaryArray:
         """The ids of each word, encoded by itself."""
         made = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(made.ids, dtype="<u4")
-        ends = np.searchsorted(np.array(made.word_ids, dtype=np.int64), np.arange(len(words) + 1)).tolist()
-        data = ids.tobytes()
-        return [data[4 * i : 4 * j] for i, j in pairwise(ends)]
+        return _rows(np.array(made.ids, dtype="<u4"), np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(words)))
 
 
 @lru_cache(maxsize=1)
